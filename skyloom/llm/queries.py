@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import chat, decontaminate, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator over its whole table."""
     return {
+        "op3_chat_formatting": chat.op3_chat_formatting,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     }
 
@@ -19,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     return {
+        "op3_chat_formatting": chat.OP3_SQL,
         "op9_benchmark_decontamination": decontaminate.OP9_SQL,
     }
