@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing
+from . import chat, decontaminate, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+        "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
 
