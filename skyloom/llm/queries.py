@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, simhash
+from . import chat, decontaminate, language, packing, quality, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator over its whole table."""
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_chat_formatting": chat.op3_chat_formatting,
+        "op4_quality_classifier": quality.op4_quality_classifier,
+        "op6_language_id": language.op6_language_id,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
