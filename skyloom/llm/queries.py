@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, packing, quality, simhash, toxicity
+from . import chat, decontaminate, language, packing, quality, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator over its whole table."""
     return {
+        "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_quality_classifier": quality.op4_quality_classifier,

@@ -45,6 +45,8 @@ class Scratch:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self._paths[name] = path
+        # shuffle files of the finished write go once the driver's JVM has collected their owners
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
