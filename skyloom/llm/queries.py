@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, packing, quality, simhash, substrings, toxicity
+from . import chat, decontaminate, factors, language, packing, quality, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op6_language_id": language.op6_language_id,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_substring_dedup": factors.op8_substring_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }

@@ -32,59 +32,26 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
 from .scratch import Scratch
 from .suffix import repeated_starts
-from .windows import anchor_runs
+from .windows import RUN_NAMES, bodies, cut_out, entries, halved_rows, row_id, run_rows, whole_keys, with_text
 
 GRAM = 32
-RUNS = "x_rid long, x_s int, x_n int, x_k long, x_h long, x_a int"
 
 
-def _row_id(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-def _runs(rows: DataFrame, width: int, piece_bytes: int) -> DataFrame:
-    """Runs of all rows ``x_rid, x_text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in textops.pieces(batches, "x_text", piece_bytes):
-            data, offsets = textops.utf8(piece.column("x_text"))
-            rids = piece.column("x_rid").to_numpy()
-            # a text beyond the limit is read in segments that share all but one byte of a window
-            lows = range(0, max(len(data) - width + 1, 1), piece_bytes) if len(data) > 2 * piece_bytes else [0]
-            for low in lows:
-                part = data[low : low + piece_bytes + width - 1] if len(lows) > 1 else data
-                own = np.array([0, len(part)]) if len(lows) > 1 else offsets
-                row, s, n, k, h, a = anchor_runs(textops.byte_symbols(5)[part], own, width, GRAM)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rids[row]), pa.array((s + low).astype(np.int32)), pa.array(n.astype(np.int32)), _signed(k), _signed(h), pa.array(a.astype(np.int32))],
-                    ["x_rid", "x_s", "x_n", "x_k", "x_h", "x_a"],
-                )
-
-    return rows.mapInArrow(run, RUNS)
+def _bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return textops.byte_symbols(5)[data], offsets
 
 
 def _shared(runs: DataFrame) -> DataFrame:
     """Runs whose anchor occurs more than once, with whether it has several contents."""
     anchors = runs.groupBy("x_k").agg(F.count("*").alias("x_c"), F.min("x_h").alias("x_low"), F.max("x_h").alias("x_high"))
     anchors = anchors.where("x_c > 1").select("x_k", (F.col("x_low") < F.col("x_high")).alias("x_mixed"))
-    return runs.join(anchors, "x_k").select("x_rid", "x_s", "x_n", "x_k", "x_h", "x_a", "x_mixed")
-
-
-def _with_text(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
-    """``x_text`` of each row that ``wanted`` names, with its entries as ``x_list``."""
-    lists = wanted.groupBy("x_rid").agg(F.collect_list(F.struct(*fields)).alias("x_list"))
-    return rows.join(lists, "x_rid")
+    return runs.join(anchors, "x_k").select(*RUN_NAMES, "x_mixed")
 
 
 def _cut(rows: DataFrame, contents: DataFrame, width: int) -> DataFrame:
@@ -94,30 +61,18 @@ def _cut(rows: DataFrame, contents: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textops.pieces(batches, "x_text", 1 << 22):
             data, offsets = textops.utf8(piece.column("x_text"))
-            lists = piece.column("x_list")
-            entries = lists.flatten()
-            counts = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(counts)), counts)
-            k, s, n, once = (entries.field(x) for x in ("x_k", "x_s", "x_n", "x_once"))
-            begin = offsets[owner] + s.to_numpy()
-            length = n.to_numpy().astype(np.int64) + width - 1
-            at = np.zeros(len(length) + 1, np.int64)
-            np.cumsum(length, out=at[1:])
-            body = data[np.repeat(begin, length) + textops.ranges(length)] if len(length) else np.zeros(0, np.uint8)
-            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(body.tobytes())]).cast(pa.binary())
+            listed, owner = entries(piece)
+            k, s, n, once = (listed.field(x) for x in ("x_k", "x_s", "x_n", "x_once"))
+            cut = cut_out(data, offsets[owner] + s.to_numpy(), n.to_numpy().astype(np.int64) + width - 1)
             rid = pa.array(piece.column("x_rid").to_numpy()[owner])
             yield pa.RecordBatch.from_arrays([k, rid, s, n, once, cut], ["x_k", "x_rid", "x_s", "x_n", "x_once", "x_bytes"])
 
-    return _with_text(rows, contents, ["x_k", "x_s", "x_n", "x_once"]).select("x_rid", "x_text", "x_list").mapInArrow(run, schema)
+    return with_text(rows, contents, ["x_k", "x_s", "x_n", "x_once"]).mapInArrow(run, schema)
 
 
 def _shard_spans(table: pa.Table, width: int) -> pa.RecordBatch:
     """Repeated spans of the once-occurring contents of a shard."""
-    column = table.column("x_bytes").combine_chunks().cast(pa.large_binary())
-    _, at, body = column.buffers()
-    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
-    body = np.frombuffer(body, np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
+    body, at = bodies(table.column("x_bytes"))
     length = np.diff(at)
     text = np.full(len(body) + len(length) + 1, 255, np.uint8)
     target = np.arange(len(body)) + np.repeat(np.arange(len(length)), length)
@@ -147,64 +102,12 @@ def _sorted_spans(cut: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, last = 0, None
-
-        for batch in batches:
-            keys = batch.column("x_k").to_numpy()
-            body = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("x_bytes")).to_numpy())])
-            new = np.flatnonzero(np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])) if len(keys) else []
-            begin = 0
-            for at in new:
-                if size + body[at] - body[begin] >= shard_bytes:
-                    if at > begin:
-                        held.append(batch.slice(begin, at - begin))
-                    if held:
-                        yield _shard_spans(pa.Table.from_batches(held), width)
-                    held, size, begin = [], 0, at
-            held.append(batch.slice(begin))
-            size += body[-1] - body[begin]
-            last = keys[-1] if len(keys) else last
-        if held:
-            yield _shard_spans(pa.Table.from_batches(held), width)
+        for shard in whole_keys(batches, "x_k", "x_bytes", shard_bytes):
+            yield _shard_spans(shard, width)
 
     return cut.repartition("x_k").sortWithinPartitions("x_k").mapInArrow(run, "x_rid long, x_from int, x_to int")
 
 
-def _halved(rows: DataFrame, hot: DataFrame, width: int, span: int) -> DataFrame:
-    """Runs of hot anchors, split at multiples of ``span`` of the distance from the anchor.
-
-    The new key hashes the bytes that all windows of a piece's block share.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in textops.pieces(batches, "x_text", 1 << 21):
-            data, offsets = textops.utf8(piece.column("x_text"))
-            ranged = textops.RangeHash(textops.byte_symbols(6)[data])
-            lists = piece.column("x_list")
-            entries = lists.flatten()
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            s, n, a = (entries.field(x).to_numpy().astype(np.int64) for x in ("x_s", "x_n", "x_a"))
-            low = (a - n + 1) // span  # block of the last start, the nearest to the anchor
-            blocks = a // span - low + 1
-            of = np.repeat(np.arange(len(s)), blocks)
-            block = low[of] + textops.ranges(blocks)
-            anchor = (s + a)[of]
-            first = np.maximum(s[of], anchor - (block + 1) * span + 1)
-            last = np.minimum((s + n - 1)[of], anchor - block * span)
-            base = offsets[owner[of]]
-            core = ranged.of(base + anchor - block * span, base + anchor - (block + 1) * span + 1 + width)
-            key = textops.mix(core + textops.mix(block.astype(np.uint64) * np.uint64(2 * span + 1)))
-            content = textops.mix(ranged.of(base + first, base + last + width))
-            rid = piece.column("x_rid").to_numpy()[owner[of]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), _signed(key), _signed(content), pa.array((anchor - first).astype(np.int32))],
-                ["x_rid", "x_s", "x_n", "x_k", "x_h", "x_a"],
-            )
-
-    return _with_text(rows, hot, ["x_s", "x_n", "x_a"]).select("x_rid", "x_text", "x_list").mapInArrow(run, RUNS)
-
-
 def repeated_spans(
     spark: SparkSession,
     documents: DataFrame,
@@ -222,8 +125,8 @@ def repeated_spans(
     (about ``1.5 * width`` bytes each).
     """
     scratch = Scratch(spark, "substrings")
-    rows = documents.select(_row_id(id_col, text_col).alias("x_rid"), F.col(text_col).alias("x_text"))
-    runs = scratch.write(_runs(rows, width, piece_bytes), "runs")
+    rows = documents.select(row_id(id_col, text_col).alias("x_rid"), F.lit(0).cast("long").alias("x_id"), F.col(text_col).alias("x_text"))
+    runs = scratch.write(run_rows(rows, _bytes, width, GRAM, piece_bytes), "runs")
     found, span, level = [], 1 << (width - GRAM).bit_length(), 0
     while True:
         shared = scratch.write(_shared(runs), f"shared{level}")
@@ -244,7 +147,7 @@ def repeated_spans(
             scratch.drop(f"shared{level}", f"contents{level}", f"hot{level}")
             break
         span //= 2
-        runs = scratch.write(_halved(rows, mixed.join(hot_keys, "x_k", "left_semi"), width, span), f"runs{level + 1}")
+        runs = scratch.write(halved_rows(rows, mixed.join(hot_keys, "x_k", "left_semi"), _bytes, width, span), f"runs{level + 1}")
         scratch.drop(f"shared{level}", f"contents{level}", f"hot{level}")
         level += 1
     spans = reduce(DataFrame.unionByName, found).groupBy("x_rid").agg(F.collect_list(F.struct("x_from", "x_to")).alias("x_spans"))
@@ -291,7 +194,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, *, id_col: str = "
     Characters of which a window covers only some bytes stay.
     """
     spans = repeated_spans(spark, documents, id_col=id_col, text_col=text_col, **options)
-    keyed = documents.withColumn("x_rid", _row_id(id_col, text_col)).join(spans, "x_rid", "left")
+    keyed = documents.withColumn("x_rid", row_id(id_col, text_col)).join(spans, "x_rid", "left")
     names = documents.columns
     at = names.index(text_col)
 
@@ -314,7 +217,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, *, id_col: str = "
 def digest(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans`` and the checksum of the remaining bytes, for each row."""
     spans = repeated_spans(spark, documents, id_col=id_col, text_col=text_col, **options)
-    rows = documents.select(_row_id(id_col, text_col).alias("x_rid"), F.col(id_col).cast("long").alias("x_id"), F.col(text_col).alias("x_text"))
+    rows = documents.select(row_id(id_col, text_col).alias("x_rid"), F.col(id_col).cast("long").alias("x_id"), F.col(text_col).alias("x_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,10 +9,21 @@ many windows, identified by the anchor's hash and a hash of the run's content.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from . import textops
 from .textops import RangeHash, mix, sliding_min
 
+#: Splits a piece's bytes into units: their 64-bit symbols and each row's first unit.
+Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+RUNS = "x_rid long, x_id long, x_s int, x_n int, x_k long, x_h long, x_a int"
+RUN_NAMES = ["x_rid", "x_id", "x_s", "x_n", "x_k", "x_h", "x_a"]
+
 #: Bits of the anchor value that hold the gram's place, to find the leftmost of equal grams.
 PLACE_BITS = 24
 
@@ -50,3 +61,124 @@ def anchor_runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int
     end = np.minimum(np.append(start[1:], n), offsets[row + 1] - window + 1)
     place = (least[start] & places).astype(np.int64)
     return row, start - offsets[row], end - start, grams[place], mix(hashed.of(start, end + window - 1)), place - start
+
+
+def row_id(id_col: str, text_col: str) -> Column:
+    """Hash of id and text: tells rows apart even if ids repeat or are null."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _batch(rid: np.ndarray, id_: np.ndarray, s: np.ndarray, n: np.ndarray, k: np.ndarray, h: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    ints = [pa.array(x.astype(np.int32)) for x in (s, n, a)]
+    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(id_), ints[0], ints[1], _signed(k), _signed(h), ints[2]], RUN_NAMES)
+
+
+def run_rows(rows: DataFrame, units: Units, window: int, gram: int, piece_bytes: int) -> DataFrame:
+    """Runs of all ``rows(x_rid, x_id, x_text)``: first start, windows, anchor and content hash.
+
+    A text of more than twice ``piece_bytes`` units is read in segments that
+    share all but one unit of a window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in textops.pieces(batches, "x_text", piece_bytes):
+            symbols, first = units(*textops.utf8(piece.column("x_text")))
+            rid, id_ = (piece.column(x).to_numpy() for x in ("x_rid", "x_id"))
+            n = len(symbols)
+            if n <= 2 * piece_bytes:
+                row, *columns = anchor_runs(symbols, first, window, gram)
+                yield _batch(rid[row], id_[row], *columns)
+                continue
+            for low in range(0, n - window + 1, piece_bytes):
+                part = symbols[low : low + piece_bytes + window - 1]
+                row, s, *columns = anchor_runs(part, np.array([0, len(part)]), window, gram)
+                yield _batch(rid[row], id_[row], s + low, *columns)
+
+    return rows.select("x_rid", "x_id", "x_text").mapInArrow(run, RUNS)
+
+
+def with_text(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows that ``wanted`` names by ``x_rid``, with its entries as ``x_list``."""
+    lists = wanted.groupBy("x_rid").agg(F.collect_list(F.struct(*fields)).alias("x_list"))
+    return rows.join(lists, "x_rid").select("x_rid", "x_id", "x_text", "x_list")
+
+
+def entries(piece: pa.RecordBatch) -> tuple[pa.StructArray, np.ndarray]:
+    """The piece's ``x_list`` entries laid end to end, and the row of each."""
+    lists = piece.column("x_list")
+    return lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def halved_rows(rows: DataFrame, hot: DataFrame, units: Units, window: int, span: int) -> DataFrame:
+    """Runs of hot anchors, split at multiples of ``span`` of the distance from the anchor.
+
+    The new key hashes the units that all windows of a piece's block share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in textops.pieces(batches, "x_text", 1 << 21):
+            symbols, offsets = units(*textops.utf8(piece.column("x_text")))
+            ranged = RangeHash(symbols)
+            listed, owner = entries(piece)
+            s, n, a = (listed.field(x).to_numpy().astype(np.int64) for x in ("x_s", "x_n", "x_a"))
+            low = (a - n + 1) // span  # block of the last start, the nearest to the anchor
+            blocks = a // span - low + 1
+            of = np.repeat(np.arange(len(s)), blocks)
+            block = low[of] + textops.ranges(blocks)
+            anchor = (s + a)[of]
+            begin = np.maximum(s[of], anchor - (block + 1) * span + 1)
+            last = np.minimum((s + n - 1)[of], anchor - block * span)
+            base = offsets[owner[of]]
+            core = ranged.of(base + anchor - block * span, base + anchor - (block + 1) * span + 1 + window)
+            key = mix(core + mix(block.astype(np.uint64) * np.uint64(2 * span + 1)))
+            content = mix(ranged.of(base + begin, base + last + window))
+            rid, id_ = (piece.column(x).to_numpy()[owner[of]] for x in ("x_rid", "x_id"))
+            yield _batch(rid, id_, begin, last - begin + 1, key, content, anchor - begin)
+
+    return with_text(rows, hot, ["x_s", "x_n", "x_a"]).mapInArrow(run, RUNS)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, body: str, limit: int) -> Iterator[pa.Table]:
+    """Stretches of about ``limit`` bytes of ``body`` that end where ``key`` changes."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        ends = _offsets(batch.column(body))
+        begin = 0
+        for at in np.flatnonzero(np.concatenate([[last is not None and keys[0] != last], keys[1:] != keys[:-1]])):
+            if size + ends[at] - ends[begin] >= limit:
+                held.append(batch.slice(begin, at - begin))
+                yield pa.Table.from_batches(held)
+                held, size, begin = [], 0, at
+        held.append(batch.slice(begin))
+        size += ends[-1] - ends[begin]
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    column = column.cast(pa.large_binary())
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def bodies(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (from 0) of a binary column."""
+    whole = column.combine_chunks().cast(pa.large_binary())
+    at = _offsets(whole)
+    return np.frombuffer(whole.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def cut_out(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Ranges of ``data`` as a binary column."""
+    at = np.zeros(len(length) + 1, np.int32)
+    np.cumsum(length, out=at[1:])
+    body = data[np.repeat(begin, length) + textops.ranges(length)] if len(length) else np.zeros(0, np.uint8)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body))])
