@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, factors, language, packing, quality, simhash, substrings, toxicity
+from . import chat, decontaminate, factors, fingerprints, language, packing, quality, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_quality_classifier": quality.op4_quality_classifier,
+        "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
         "op6_language_id": language.op6_language_id,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_substring_dedup": factors.op8_substring_dedup,
