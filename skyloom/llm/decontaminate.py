@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, without
+
 UPPER = "".join(map(chr, range(0x41, 0x5B)))
 #: ASCII that separates words once A-Z are lower-cased.
 BREAKS = "".join(chr(c) for c in range(0x80) if not (0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A))
@@ -145,6 +147,14 @@ def _judged(one: DataFrame, id_col: str, carry: tuple[str, ...]) -> DataFrame:
     )
 
 
+def drop_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``documents`` that are not contaminated, unchanged."""
+    keyed = documents.withColumn("x_key", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)))
+    found = find_contamination(spark, keyed, benchmark, id_col=id_col, text_col=text_col, carry=("x_key",), **options)
+    dropped = Scratch(spark, "contaminated").write(found.where("contaminated").select("x_key").distinct(), "dropped")
+    return without(keyed, dropped, "x_key").select(*documents.columns)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of :func:`find_contamination` over ``documents`` and ``benchmark``."""
     found = find_contamination(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

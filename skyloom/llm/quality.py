@@ -243,6 +243,16 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", carry: tup
     return source.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
 
 
+def keep_good(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, piece_bytes: int = 1 << 21) -> DataFrame:
+    """The rows of ``documents`` whose score is at least ``threshold``, unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in textops.pieces(batches, text_col, piece_bytes):
+            yield piece.filter(pa.array(score_texts(model, piece.column(text_col)) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all ``documents``, learnt from ``labels`` outside the held-out fold."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

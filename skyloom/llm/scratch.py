@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,14 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def without(rows: DataFrame, keys: DataFrame, on: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows whose ``on`` is not among ``keys`` (a table that is already written).
+
+    Up to ``broadcast_rows`` keys are broadcast; more are joined by a shuffle.
+    """
+    return rows.join(broadcast(keys) if keys.count() <= broadcast_rows else keys, on, "left_anti")
+
+
 class Scratch:
     """Tables of one operator call, under one folder of the shared directory."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, without
 
 POSITIONS = 8
 
@@ -172,6 +172,19 @@ def near_duplicates(
     return prints.join(of_class, "x_fp").select(F.col("x_id").alias(id_col), F.lpad(F.lower(F.hex("x_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``documents`` with one document of each component, the one with the smallest id.
+
+    Rows with a null id stay; of rows that repeat id and text one stays.
+    """
+    scratch = Scratch(spark, "simhash_kept")
+    near = scratch.write(near_duplicates(spark, documents, id_col=id_col, text_col=text_col, **options), "near")
+    dropped = scratch.write(near.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
+    unique = near.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+    kept = without(documents, dropped, id_col)
+    return kept if unique else kept.dropDuplicates([id_col, text_col])
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all ``documents``."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
