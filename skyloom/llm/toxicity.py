@@ -80,6 +80,18 @@ def presence(hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> t
     return pairs // len(vocabulary), pairs % len(vocabulary)
 
 
+def _distinct(texts: list[str], block: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, hash) pairs of all texts, by row; a few texts are held at a time."""
+    rows, found = [], []
+    for at in range(0, len(texts), block):
+        hashes, first = word_hashes(pa.array(texts[at : at + block], pa.large_string()))
+        for k in range(len(first) - 1):
+            own = np.unique(hashes[first[k] : first[k + 1]])
+            rows.append(np.full(len(own), at + k))
+            found.append(own)
+    return np.concatenate(rows), np.concatenate(found)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -126,11 +138,9 @@ def train(texts: list[str], toxic: np.ndarray, words: int = 2000, folds: int = 3
     """Choose ``words`` words and fit the links, each on out-of-fold earlier links."""
     if len(set(toxic.tolist())) < 2:
         return Chain(np.zeros(0, np.uint64), ())
-    hashes, first = word_hashes(pa.array(texts, pa.large_string()))
     n = len(texts)
-    all_words, inverse = np.unique(hashes, return_inverse=True)  # the first is 0, "no stem", which rows of both kinds hold
-    pairs = np.unique(np.repeat(np.arange(n), np.diff(first)) * len(all_words) + inverse)
-    row, word = pairs // len(all_words), pairs % len(all_words)
+    row, hashes = _distinct(texts)
+    all_words, word = np.unique(hashes, return_inverse=True)  # the first is 0, "no stem", which rows of both kinds hold
     seen = np.bincount(word, minlength=len(all_words))
     with_label = np.bincount(word, toxic[row], len(all_words))
     # squared distance from independence, as in a chi-squared test, for words seen at least three times
@@ -138,15 +148,15 @@ def train(texts: list[str], toxic: np.ndarray, words: int = 2000, folds: int = 3
     gain = np.where(seen >= 3, (with_label - expected) ** 2 / np.maximum(expected * (1 - toxic.mean()), 1e-9), -1)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:words])
     vocabulary = all_words[chosen]
-    row, word = presence(hashes, first, vocabulary)
+    named = np.isin(word, chosen)
     targets = []
     for terms in CATEGORY_TERMS.values():
         term_hashes, _ = word_hashes(pa.array([" ".join(terms)], pa.large_string()))
         holds = np.zeros(n)
-        hit = np.isin(hashes, term_hashes)
-        holds[np.searchsorted(first, np.flatnonzero(hit), "right") - 1] = 1
+        holds[row[np.isin(hashes, term_hashes[:: 1 + len(STEMS)])]] = 1
         targets.append(holds * toxic)
     targets.append(toxic.astype(float))
+    row, word = row[named], np.searchsorted(chosen, word[named])
     part = np.arange(n) % folds
     links, earlier = [], np.zeros((n, 0))
     for y in targets:
@@ -162,7 +172,7 @@ def train(texts: list[str], toxic: np.ndarray, words: int = 2000, folds: int = 3
     return Chain(vocabulary, tuple(links))
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2000, folds: int = 5) -> Chain:
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1200, folds: int = 5) -> Chain:
     """Train on at most ``sample`` documents of each label outside the held-out fold."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != 0))
     known = known.select(F.col(id_col).cast("long").alias("x_id"), F.col(label_col).cast("int").alias("x_label"))
