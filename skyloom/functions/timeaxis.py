@@ -203,10 +203,11 @@ def annual_steps(dates: DataFrame, time: str = "t") -> DataFrame:
 
 
 def _gcd_step(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two numbers up to 366, without a loop: Euclid unrolled."""
-    for _ in range(14):  # 366 needs at most 14 steps
-        a, b = F.when(b == 0, a).otherwise(b), F.when(b == 0, 0).otherwise(a % F.when(b == 0, 1).otherwise(b))
-    return a
+    """Greatest common divisor of two numbers up to 366: Euclid's steps as a fold."""
+    state = F.struct(a.alias("a"), b.alias("b"))
+    rounds = F.sequence(F.lit(1), F.lit(14))  # enough below 377 * 610
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1))).alias("b")))
+    return F.aggregate(rounds, state, step)["a"]
 
 
 def annual_calendar(dates: DataFrame, time: str = "t") -> DataFrame:

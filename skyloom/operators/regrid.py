@@ -120,7 +120,8 @@ def axis_weights(method: str, source: Axis, target: Axis, *, sphere: bool = Fals
 
 def weight_table(spark: SparkSession, weights: Weights, target: str, source: str, weight: str) -> DataFrame:
     """Weights as a table; small ones are broadcast (they number a few for each axis position)."""
-    frame = spark.createDataFrame(weights, f"{target} int, {source} int, {weight} double")
+    rows = [(int(j), int(i), float(w)) for j, i, w in weights]
+    frame = spark.createDataFrame(rows, f"{target} int, {source} int, {weight} double")
     return F.broadcast(frame) if len(weights) <= BROADCAST_ROWS else frame
 
 
