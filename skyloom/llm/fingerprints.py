@@ -4,8 +4,9 @@ The lexicon holds the terms whose document frequency lies in a band, that is,
 whose inverse document frequency is neither too low nor too high.  Frequencies
 are counted over all documents.  A document's distinct lexicon terms are sorted,
 and each of several random subsets of the lexicon hashes those it contains.  The
-fingerprint is the list of these hashes; the likeness of two fingerprints is the
-share of equal hashes among the subsets that either document reaches.  Subsets of
+fingerprint is the list of these hashes, each after its subset's number; the
+likeness of two fingerprints is the share of equal hashes among the subsets that
+either document reaches.  Subsets of
 several densities serve short and long documents alike.
 
 Only DataFrame functions run here.  The lexicon's size is bounded by the band
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 from .decontaminate import normalised_words
 from .scratch import Scratch
 
-#: Subsets hold one in 2**density of the lexicon's terms; so many of each density.
-DENSITIES = (3, 5, 7, 9)
-SUBSETS_EACH = 12
+#: At each density, a random part of the lexicon is split into subsets of one term in
+#: 2**density; so many subsets at most.  Subset 0 is the whole lexicon.
+DENSITIES = (5, 8, 11)
+SUBSETS_EACH = 32
 #: Rows of a group whose successors are found together; groups there can be at most.
 GROUP_ROWS, GROUPS = 512, 1 << 16
 
@@ -65,7 +67,7 @@ def build_lexicon(texts: DataFrame, text_col: str, low: float, high: float) -> L
     terms = texts.select(F.explode(term_hashes(F.col(text_col))).alias("x_t")).groupBy("x_t").agg(F.count("*").alias("x_df"))
     band = terms.where((F.col("x_df") >= max(2, low * total)) & (F.col("x_df") <= max(2, high * total))).select("x_t")
     hashes = [r.x_t for r in band.collect()]  # bounded by mean distinct terms / low
-    log2 = max(12, min(22, (32 * len(hashes)).bit_length()))
+    log2 = max(12, min(22, (16 * len(hashes)).bit_length()))
     longs = [0] * (1 << (log2 - 6))
     mask = (1 << log2) - 1
     for h in hashes:
@@ -75,34 +77,48 @@ def build_lexicon(texts: DataFrame, text_col: str, low: float, high: float) -> L
     return Lexicon(F.split(F.lit(signed), ",").cast("array<bigint>"), log2, len(hashes))
 
 
+def _members(basis: Column, level: int, density: int) -> Column:
+    """Terms of a density's subsets as ``subset << 56 | term >>> 8``."""
+    index = lambda t: F.shiftrightunsigned(t, 12 * level).bitwiseAND((1 << density) - 1)
+    own = F.filter(basis, lambda t: index(t) < SUBSETS_EACH) if 1 << density > SUBSETS_EACH else basis
+    return F.transform(own, lambda t: F.shiftleft(index(t) + (1 + level * SUBSETS_EACH), 56).bitwiseOR(F.shiftrightunsigned(t, 8)))
+
+
+def _entry(subset: Column, hash_: Column) -> Column:
+    return F.shiftleft(subset.cast("long"), 24).bitwiseOR(hash_.bitwiseAND(0xFFFFFF))
+
+
+def _hash_subsets(sorted_members: Column) -> Column:
+    """``subset << 24 | hash`` of each subset, folding its sorted terms into one hash."""
+    none = F.struct(F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("h"), F.array().cast("array<bigint>").alias("out"))
+
+    def fold(state: Column, member: Column) -> Column:
+        subset = F.shiftrightunsigned(member, 56)
+        done = F.when(state["s"] < 0, state["out"]).otherwise(F.concat(state["out"], F.array(_entry(state["s"], state["h"]))))
+        following = F.struct(subset.alias("s"), F.xxhash64(member).alias("h"), done.alias("out"))
+        return F.when(state["s"] == subset, F.struct(state["s"].alias("s"), F.xxhash64(state["h"], member).alias("h"), state["out"].alias("out"))).otherwise(following)
+
+    return F.aggregate(sorted_members, none, fold, lambda state: F.when(state["s"] < 0, state["out"]).otherwise(F.concat(state["out"], F.array(_entry(state["s"], state["h"])))))
+
+
 def with_signature(rows: DataFrame, text_col: str, name: str, lexicon: Lexicon) -> DataFrame:
-    """``rows`` with the fingerprint of ``text_col`` as ``name array<int>`` (0: an empty subset)."""
+    """``rows`` with the fingerprint of ``text_col`` as ``name array<bigint>``: one entry for each subset it reaches."""
     columns = rows.columns
     rows = rows.withColumn("x_terms", term_hashes(F.col(text_col)))
     rows = rows.withColumn("x_band", F.filter("x_terms", lexicon.holds))
     whole = F.when(F.length(text_col) > 0, F.array(F.xxhash64(text_col))).otherwise(F.array().cast("array<bigint>"))
     basis = F.when(F.size("x_band") > 0, F.col("x_band")).when(F.size("x_terms") > 0, F.col("x_terms")).otherwise(whole)
     rows = rows.withColumn("x_basis", F.array_sort(basis))
-    hashes = [F.xxhash64("x_basis")]
-    for level, density in enumerate(DENSITIES):
-        for k in range(SUBSETS_EACH):
-            # each subset looks at bits of the term's hash of its own
-            own = F.filter("x_basis", _in_subset(5 * (level * SUBSETS_EACH + k) % 53, (1 << density) - 1, k % (1 << density)))
-            hashes.append(F.when(F.size(own) > 0, F.xxhash64(own)))
-    parts = [F.coalesce(F.greatest(h.bitwiseAND(0x7FFFFFFF), F.lit(1)), F.lit(0)).cast("int") for h in hashes]
-    whole_hash = F.when(F.size("x_basis") > 0, parts[0]).otherwise(0)
-    return rows.withColumn(name, F.array(whole_hash, *parts[1:])).select(*columns, name)
-
-
-def _in_subset(shift: int, mask: int, value: int):
-    return lambda term: F.shiftrightunsigned(term, shift).bitwiseAND(mask) == value
+    members = F.concat(*[_members(F.col("x_basis"), level, density) for level, density in enumerate(DENSITIES)])
+    every = F.when(F.size("x_basis") > 0, F.array(_entry(F.lit(0), F.xxhash64("x_basis")))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(*columns, F.concat(every, _hash_subsets(F.array_sort(members))).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Equal hashes among the subsets that either fingerprint reaches; 1 if neither reaches any."""
-    reached = F.aggregate(F.zip_with(a, b, lambda x, y: ((x != 0) | (y != 0)).cast("int")), F.lit(0), lambda s, v: s + v)
-    equal = F.aggregate(F.zip_with(a, b, lambda x, y: ((x != 0) & (x == y)).cast("int")), F.lit(0), lambda s, v: s + v)
-    return F.when(reached > 0, equal / reached).otherwise(1.0)
+    subsets = lambda x: F.transform(x, lambda e: F.shiftright(e, 24))
+    reached = F.size(F.array_union(subsets(a), subsets(b)))
+    return F.when(reached > 0, F.size(F.array_intersect(a, b)) / reached).otherwise(1.0)
 
 
 def _hex(signature: Column) -> Column:
@@ -144,7 +160,7 @@ def fingerprint_documents(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    low: float = 0.001,
+    low: float = 0.002,
     high: float = 0.1,
 ) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and their likenesses.
