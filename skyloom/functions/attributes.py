@@ -47,19 +47,12 @@ def reference(kind: str, value: Column, available: Sequence[str], renames: Mappi
     return F.when(regular & (F.size(pairs) > 0), F.array_join(F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"])), " "))
 
 
-def _other_than(key: str):
-    return lambda k, _: k != key
-
-
 def sanitised(attrs: Column, available: Sequence[str], renames: Mapping[str, str] | None = None) -> Column:
     """An attribute map whose references name available variables; others are dropped."""
-    out = attrs
-    for kind, keys in (("one", ONE_NAME), ("list", NAME_LISTS), ("keyed", KEYED_NAMES)):
-        for key in keys:
-            value = reference(kind, F.element_at(attrs, F.lit(key)), available, renames or {})
-            rest = F.map_filter(out, _other_than(key))
-            out = F.when(F.map_contains_key(out, F.lit(key)) & value.isNotNull(), F.map_concat(rest, F.create_map(F.lit(key), value))).otherwise(rest)
-    return out
+    kinds = {**dict.fromkeys(ONE_NAME, "one"), **dict.fromkeys(NAME_LISTS, "list"), **dict.fromkeys(KEYED_NAMES, "keyed")}
+    entries = [F.struct(F.lit(key).alias("key"), reference(kind, F.element_at(attrs, F.lit(key)), available, renames or {}).alias("value")) for key, kind in kinds.items()]
+    kept = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+    return F.map_concat(F.map_filter(attrs, lambda k, _: ~k.isin(*kinds)), F.map_from_entries(kept))
 
 
 def swath_corner(text: Column, name: str) -> Column:

@@ -19,7 +19,7 @@ class CatalogError(ValueError):
 
 
 def list_files(spark: SparkSession, root: str, suffixes: Sequence[str] = COMPLETE_SUFFIXES) -> DataFrame:
-    """``path, size, mtime, suffix`` of all files with a known suffix, without reading them."""
+    """``path, size, mtime, suffix`` of all files with a known suffix that are not empty, without reading them."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     suffix = F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1)))
     rows = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), suffix.alias("suffix"))

@@ -93,7 +93,7 @@ def nearest_source_weights(source: Axis, target: Axis, *, periodic: bool = False
     for j, c, _, _ in target.rows():
         apart = np.abs(source.centres - c)
         if periodic:
-            apart = np.minimum(apart, 360.0 - apart)
+            apart = np.minimum(apart % 360.0, 360.0 - apart % 360.0)
         out.append((j, int(apart.argmin()), 1.0))
     return out
 

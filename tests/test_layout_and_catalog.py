@@ -12,7 +12,7 @@ def test_chunk_plans():
     assert layout.plan_chunks((10, 20, 30), 4, "time").chunks == (10, 20, 30)
     big = layout.plan_chunks((365, 3600, 7200), 4, "time", mib=128)
     assert big.chunks[0] == 365 and big.chunks[1] % 16 == 0 and big.bytes(4) <= 129 << 20
-    assert layout.plan_chunks((365, 1800, 3600), 4, "space", mib=128).chunks == (4, 1800, 3600)
+    assert layout.plan_chunks((365, 1800, 3600), 4, "space", mib=128).chunks == (5, 1800, 3600)
     assert layout.plan_chunks((9, 9, 9), 4, "custom", custom=(3, 4, 5)).counts((9, 9, 9)) == (3, 3, 2)
     for bad in ((1, 2), (0, 1, 1), (10, 1, 1), (1.5, 1, 1)):
         with pytest.raises(layout.LayoutError):
@@ -70,7 +70,7 @@ def test_listing_and_snapshot(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"version": 1, "files": [], "meta": {}}')
     with pytest.raises(catalog.CatalogError):
         catalog.load_snapshot(spark, str(tmp_path / "s.json"))
-    (folder / "d.hdf").write_bytes(b"")
+    (folder / "d.hdf").write_bytes(b"x")
     with pytest.raises(catalog.CatalogError):
         catalog.one_suffix(catalog.list_files(spark, str(tmp_path / "in")))
 
