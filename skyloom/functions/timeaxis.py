@@ -196,7 +196,8 @@ def annual_steps(dates: DataFrame, time: str = "t") -> DataFrame:
     rows = by_year.withColumn("gaps", gaps)
     divisor = F.aggregate("gaps", F.lit(0), _gcd_step)
     often = F.aggregate(F.array_distinct("gaps"), F.struct(F.lit(0).alias("n"), F.lit(1).alias("g")), lambda best, g: F.when(F.size(F.filter("gaps", lambda x: x == g)) > best["n"], F.struct(F.size(F.filter("gaps", lambda x: x == g)).alias("n"), g.alias("g"))).otherwise(best))
-    own = F.when(F.size("gaps") > 0, F.when(divisor > 1, divisor).otherwise(often["g"]))
+    rows = rows.withColumn("divisor", divisor).withColumn("often", often["g"])
+    own = F.when(F.size("gaps") > 0, F.when(F.col("divisor") > 1, F.col("divisor")).otherwise(F.col("often")))
     steps = rows.select("year", F.get("doys", F.lit(0)).alias("first_doy"), F.element_at("doys", -1).alias("last_doy"), F.size("doys").alias("n"), own.alias("own"))
     usual = steps.where(F.col("own").isNotNull()).groupBy("own").agg(F.count("*").alias("k"), F.min("year").alias("y")).agg(F.max_by("own", F.struct("k", -F.col("y"))).alias("usual"))
     return steps.crossJoin(F.broadcast(usual)).select("year", "first_doy", "last_doy", "n", F.coalesce("own", "usual", F.lit(1)).cast("int").alias("step"))
