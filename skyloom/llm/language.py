@@ -173,9 +173,10 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return train([r.x_text for r in rows], [r.x_lang for r in rows])
 
 
-def identify(documents: DataFrame, net: Network, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), piece_bytes: int = 1 << 21) -> DataFrame:
+def identify(documents: DataFrame, net: Network, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), piece_bytes: int = 1 << 19) -> DataFrame:
     """The columns in ``carry``, ``lang_pred string`` and ``score double`` for each row."""
     has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    textops.bounded_batches(documents.sparkSession)
     source = documents.select(*carry, has_letter.alias("x_letter"), F.col(text_col).alias("x_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .textops import bounded_batches
 
 END_TOKEN = 2
 
@@ -162,6 +163,7 @@ def pack(
     ``shard_documents`` bounds what one packing task holds (about 24 bytes a
     piece); a larger shard wastes less in its last open bins.
     """
+    bounded_batches(spark)
     scratch = Scratch(spark, "pack")
     lengths = scratch.write(tokenize_pieces(documents, tokenizer or default_tokenizer(), id_col, text_col, size), "lengths")
     shards = max(1, -(-lengths.count() // shard_documents))

@@ -230,8 +230,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return train([r.x_text or "" for r in rows], np.array([r.x_label for r in rows]))
 
 
-def score(documents: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), piece_bytes: int = 1 << 21) -> DataFrame:
+def score(documents: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), piece_bytes: int = 1 << 19) -> DataFrame:
     """The columns in ``carry`` and ``score double`` for each row."""
+    textops.bounded_batches(documents.sparkSession)
     source = documents.select(*[F.col(c).alias(c) for c in carry], F.col(text_col).alias("x_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +244,14 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", carry: tup
     return source.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
 
 
-def keep_good(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, piece_bytes: int = 1 << 21) -> DataFrame:
+def keep_good(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, piece_bytes: int = 1 << 19) -> DataFrame:
     """The rows of ``documents`` whose score is at least ``threshold``, unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textops.pieces(batches, text_col, piece_bytes):
             yield piece.filter(pa.array(score_texts(model, piece.column(text_col)) >= threshold))
 
+    textops.bounded_batches(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, without
+from .textops import bounded_batches
 
 POSITIONS = 8
 
@@ -157,6 +158,7 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable over links of at most
     ``max_bits`` differing bits.
     """
+    bounded_batches(spark)
     scratch = Scratch(spark, "simhash")
     prints = scratch.write(fingerprints(documents, id_col, text_col, shingle, seed), "prints")
     classes = scratch.write(prints.groupBy("x_fp").agg(F.min("x_id").alias("x_rep")), "classes")

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Odd base of the polynomial hash; its inverse modulo 2**64 is derived from it.
 BASE = 0x9E3779B97F4A7C15
@@ -31,6 +32,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, offsets - first
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Send texts to Python in batches of at most ``most`` bytes, so that workers stay small.
+
+    This is a setting of the session, in force when its plans run.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of ``text`` (or a single row)."""
     for batch in batches:
@@ -53,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(n: int, base: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
     out = np.full(n, base, np.uint64)
@@ -63,7 +72,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 def powers(n: int, base: int) -> np.ndarray:
     """The first ``n`` powers, from a table that is kept for the usual sizes."""
-    return _powers(max(1 << 21, 1 << (n - 1).bit_length() if n > 1 else 1), base)[:n]
+    return _powers(max(1 << 20, 1 << (n - 1).bit_length() if n > 1 else 1), base)[:n]
 
 
 class RangeHash:

@@ -185,8 +185,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return train([r.x_text or "" for r in rows], np.array([r.x_label for r in rows]))
 
 
-def score(documents: DataFrame, chain: Chain, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), piece_bytes: int = 1 << 21) -> DataFrame:
+def score(documents: DataFrame, chain: Chain, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), piece_bytes: int = 1 << 19) -> DataFrame:
     """The columns in ``carry`` and ``p_<category> double`` for each row."""
+    textops.bounded_batches(documents.sparkSession)
     source = documents.select(*carry, F.col(text_col).alias("x_text"))
     names = [f"p_{c}" for c in CHAIN]
 
