@@ -149,10 +149,11 @@ def _judged(one: DataFrame, id_col: str, carry: tuple[str, ...]) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, unchanged."""
-    keyed = documents.withColumn("x_key", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)))
-    found = find_contamination(spark, keyed, benchmark, id_col=id_col, text_col=text_col, carry=("x_key",), **options)
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    keyed = documents.select(key.alias("x_key"), F.col(id_col).alias("x_id"), F.col(text_col).alias("x_text"), F.struct("*").alias("x_row"))
+    found = find_contamination(spark, keyed, benchmark, id_col="x_id", text_col="x_text", carry=("x_key",), **options)
     dropped = Scratch(spark, "contaminated").write(found.where("contaminated").select("x_key").distinct(), "dropped")
-    return without(keyed, dropped, "x_key").select(*documents.columns)
+    return without(keyed.select("x_key", "x_row"), dropped, "x_key").select("x_row.*")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
