@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .scratch import Scratch
 from .substrings import merged
-from .windows import RUN_NAMES, bodies, cut_out, entries, halved_rows, row_id, run_rows, whole_keys, with_text
+from .windows import RUN_NAMES, bodies, cut_contents, every_start, halve, part_of_whole, row_id, run_rows, split_hot, whole_keys
 
 GRAM = 8
 LAST_ID = (1 << 63) - 1
@@ -46,29 +45,14 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return textops.mix(textops.RangeHash(textops.byte_symbols(4)[data]).of(starts, ends)), first
 
 
-def _shared(runs: DataFrame) -> DataFrame:
-    """Runs whose anchor occurs in documents with different ids, with the smallest id."""
-    anchors = runs.groupBy("x_k").agg(F.min("x_id").alias("x_first"), F.max("x_id").alias("x_last"), F.min("x_h").alias("x_low"), F.max("x_h").alias("x_high"))
-    anchors = anchors.where("x_first < x_last").select("x_k", "x_first", (F.col("x_low") < F.col("x_high")).alias("x_mixed"))
-    return runs.join(anchors, "x_k").select(*RUN_NAMES, "x_first", "x_mixed")
-
+def _word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return textops.word_bounds(data, offsets, IS_WORD)
 
-def _cut(rows: DataFrame, contents: DataFrame, width: int) -> DataFrame:
-    """One row for each distinct content, with the bytes from its first to its last word."""
-    schema = "x_k long, x_h long, x_id long, x_n int, x_bytes binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in textops.pieces(batches, "x_text", 1 << 22):
-            data, offsets = textops.utf8(piece.column("x_text"))
-            starts, ends, first = textops.word_bounds(data, offsets, IS_WORD)
-            listed, owner = entries(piece)
-            k, h, s, n = (listed.field(x) for x in ("x_k", "x_h", "x_s", "x_n"))
-            word = first[owner] + s.to_numpy()
-            begin, end = starts[word], ends[word + n.to_numpy() + width - 2]
-            id_ = pa.array(piece.column("x_id").to_numpy()[owner])
-            yield pa.RecordBatch.from_arrays([k, h, id_, n, cut_out(data, begin, end - begin)], ["x_k", "x_h", "x_id", "x_n", "x_bytes"])
 
-    return with_text(rows, contents, ["x_k", "x_h", "x_s", "x_n"]).mapInArrow(run, schema)
+def _shared(runs: DataFrame) -> DataFrame:
+    """Runs whose anchor occurs in documents with different ids."""
+    anchors = runs.groupBy("x_k").agg(F.min("x_id").alias("x_first"), F.max("x_id").alias("x_last")).where("x_first < x_last").select("x_k")
+    return runs.join(anchors, "x_k").select(*RUN_NAMES)
 
 
 def parse(words: np.ndarray, seeds: list[int], index: dict[int, tuple[np.ndarray, int]], width: int) -> list[tuple[int, int]]:
@@ -120,12 +104,30 @@ def _parse_shard(table: pa.Table, width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([table.column(x).combine_chunks().take(chosen) for x in ("x_k", "x_h")] + [pa.array(x.astype(np.int32)) for x in (begin, end)], ["x_k", "x_h", "x_from", "x_to"])
 
 
-def _factors(cut: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+def _factors(items: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in whole_keys(batches, "x_k", "x_bytes", shard_bytes):
             yield _parse_shard(shard, width)
 
-    return cut.repartition("x_k").sortWithinPartitions("x_k").mapInArrow(run, "x_k long, x_h long, x_from int, x_to int")
+    dealt = items.select("x_k", "x_h", "x_id", "x_n", "x_bytes").repartition("x_k").sortWithinPartitions("x_k")
+    return dealt.mapInArrow(run, "x_k long, x_h long, x_from int, x_to int")
+
+
+def _content_spans(scratch: Scratch, items: DataFrame, width: int, span: int, hot: int, shard_bytes: int) -> DataFrame:
+    """Duplicate spans of all items against those of smaller ids, as ``x_k, x_h, x_from, x_to``."""
+    few, many = split_hot(scratch, items, hot, span, str(span))
+    spans = _factors(few, width, shard_bytes)
+    if many is None:
+        return spans
+    parts = scratch.write(halve(many, _words, _word_places, width, span // 2), f"parts_{span}")
+    firsts = parts.groupBy("x_k", "x_h").agg(F.min("x_id").alias("x_first"), F.min(F.struct("x_id", "x_n", "x_a", "x_once", "x_bytes")).alias("x_one"))
+    known = scratch.write(firsts, f"known_{span}")
+    dated = parts.drop("x_bytes").join(known.select("x_k", "x_h", "x_first"), ["x_k", "x_h"])
+    later = dated.where("x_id > x_first").select(F.col("x_whole_k").alias("x_k"), F.col("x_whole_h").alias("x_h"), F.col("x_off").alias("x_from"), (F.col("x_off") + F.col("x_n") + width - 1).alias("x_to"))
+    several = known.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k")
+    deeper = scratch.write(known.join(several, "x_k").select("x_k", "x_h", "x_one.*"), f"items_{span}")
+    inner = _content_spans(scratch, deeper, width, span // 2, hot, shard_bytes)
+    return spans.unionByName(later).unionByName(part_of_whole(inner, dated.where("x_id = x_first")))
 
 
 def duplicate_spans(
@@ -137,40 +139,30 @@ def duplicate_spans(
     width: int = 50,
     hot: int = 8000,
     shard_bytes: int = 1 << 20,
-    piece_bytes: int = 1 << 21,
+    piece_bytes: int = 1 << 19,
 ) -> DataFrame:
     """``x_rid long, x_spans array<struct<x_from,x_to>>``: word ranges, not yet merged."""
+    textops.bounded_batches(spark)
     scratch = Scratch(spark, "factors")
     rows = documents.select(row_id(id_col, text_col).alias("x_rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("x_id"), F.col(text_col).alias("x_text"))
     runs = scratch.write(run_rows(rows, _words, width, GRAM, piece_bytes), "runs")
-    found, span, level = [], 1 << (width - GRAM).bit_length(), 0
-    while True:
-        shared = scratch.write(_shared(runs), f"shared{level}")
-        scratch.drop("runs" if level == 0 else f"runs{level}")
-        mixed = shared.where("x_mixed").drop("x_first")
-        contents = scratch.write(mixed.groupBy("x_k", "x_h").agg(F.min(F.struct("x_id", "x_rid", "x_s", "x_n")).alias("x_at")), f"contents{level}")
-        hot_keys = scratch.write(contents.groupBy("x_k").count().where(F.col("count") > hot).select("x_k"), f"hot{level}")
-        any_hot = span > 1 and not hot_keys.isEmpty()
-        firsts = contents.select("x_k", "x_h", F.col("x_at.x_id").alias("x_first"))
-        later = shared.where("not x_mixed").unionByName(mixed.join(firsts, ["x_k", "x_h"]), allowMissingColumns=False).where("x_id > x_first")
-        whole = later.select("x_rid", F.col("x_s").alias("x_from"), (F.col("x_s") + F.col("x_n") + width - 1).alias("x_to"))
-        found.append(scratch.write(whole, f"whole{level}"))
-        gathered = contents.join(hot_keys, "x_k", "left_anti") if any_hot else contents
-        flat = gathered.select("x_k", "x_h", "x_at.x_rid", "x_at.x_s", "x_at.x_n")
-        factors = _factors(_cut(rows, flat, width), width, shard_bytes).join(firsts, ["x_k", "x_h"])
-        at_first = mixed.join(factors, (mixed.x_k == factors.x_k) & (mixed.x_h == factors.x_h) & (mixed.x_id == factors.x_first))
-        parsed = at_first.select("x_rid", (F.col("x_s") + F.col("x_from")).alias("x_from"), (F.col("x_s") + F.col("x_to")).alias("x_to"))
-        found.append(scratch.write(parsed, f"parsed{level}"))
-        if any_hot:
-            span //= 2
-            runs = scratch.write(halved_rows(rows, mixed.join(hot_keys, "x_k", "left_semi"), _words, width, span), f"runs{level + 1}")
-        scratch.drop(f"shared{level}", f"contents{level}", f"hot{level}")
-        if not any_hot:
-            break
-        level += 1
-    spans = reduce(DataFrame.unionByName, found).groupBy("x_rid").agg(F.collect_list(F.struct("x_from", "x_to")).alias("x_spans"))
+    shared = scratch.write(_shared(runs), "shared")
+    scratch.drop("runs")
+    contents = scratch.write(shared.groupBy("x_k", "x_h").agg(F.min(F.struct("x_id", "x_rid", "x_s", "x_n", "x_a")).alias("x_at")), "contents")
+    firsts = contents.select("x_k", "x_h", F.col("x_at.x_id").alias("x_first"))
+    dated = scratch.write(shared.join(firsts, ["x_k", "x_h"]).select("x_rid", "x_id", "x_s", "x_n", "x_k", "x_h", "x_more", "x_first"), "dated")
+    scratch.drop("shared")
+    later = every_start(dated.where("x_id > x_first"))
+    whole = later.select("x_rid", F.col("x_s").alias("x_from"), (F.col("x_s") + F.col("x_n") + width - 1).alias("x_to"))
+    several = contents.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k")
+    items = scratch.write(cut_contents(rows, contents.join(several, "x_k").withColumn("x_once", F.lit(True)), _word_places, width), "items")
+    factors = scratch.write(_content_spans(scratch, items, width, 1 << (width - GRAM).bit_length(), hot, shard_bytes), "factors")
+    scratch.drop("items")
+    at_first = every_start(dated.where("x_id = x_first")).join(factors, ["x_k", "x_h"])
+    parsed = at_first.select("x_rid", (F.col("x_s") + F.col("x_from")).alias("x_from"), (F.col("x_s") + F.col("x_to")).alias("x_to"))
+    spans = whole.unionByName(parsed).groupBy("x_rid").agg(F.collect_list(F.struct("x_from", "x_to")).alias("x_spans"))
     decided = scratch.write(spans, "spans")
-    scratch.drop(*[f"{kind}{i}" for i in range(level + 1) for kind in ("whole", "parsed")])
+    scratch.keep("spans")
     return decided
 
 
@@ -192,7 +184,7 @@ def digest(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id",
             kinds = [pa.int64()] * 3 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_col, "n_words", "n_removed", "kept_sha256"])
 
-    joined = rows.join(spans, "x_rid", "left").select("x_id", "x_text", "x_spans")
+    joined = rows.join(spans.hint("merge"), "x_rid", "left").select("x_id", "x_text", "x_spans")
     return joined.mapInArrow(run, f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
 
 

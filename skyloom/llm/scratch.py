@@ -63,6 +63,10 @@ class Scratch:
         for name in names:
             self._delete(self._paths.pop(name))
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*[n for n in self._paths if n not in names])
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

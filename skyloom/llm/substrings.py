@@ -5,15 +5,15 @@
 2. Anchors seen once cannot belong to a repeated window.  Counts are aggregated
    before the shuffle, so a passage in a third of all documents costs one row a
    task.
-3. Runs whose anchor has a single content are repeated as a whole.  Where an
-   anchor has several contents, one occurrence of each distinct content is cut
-   out of its text and sent to the anchor's shard.
+3. Runs whose whole content occurs more than once are repeated as they stand.
+   Where an anchor has several contents, one occurrence of each is cut out of
+   its text and sent to the anchor's shard.
 4. Each shard, a bounded stretch of text, gets a suffix array by induced sorting
    and the permuted common prefixes of its neighbours; a start whose neighbour
    shares ``width`` bytes is repeated.
-5. Anchors with more than ``hot`` distinct contents are not gathered.  Their runs
-   are split by the distance from the anchor, so that a piece's shared core
-   becomes part of its key, again and again with half the span, down to single
+5. Anchors with more than ``hot`` distinct contents are not gathered.  Those
+   contents are split by the distance from the anchor, so that a part's shared
+   core becomes its key, again and again with half the span, down to single
    windows, whose equality the key alone decides.
 
 Rows are told apart by a hash of id and text, so ids may repeat or be null.
@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .scratch import Scratch
 from .suffix import repeated_starts
-from .windows import RUN_NAMES, bodies, cut_out, entries, halved_rows, row_id, run_rows, whole_keys, with_text
+from .windows import RUN_NAMES, bodies, cut_contents, every_start, halve, occurrences, part_of_whole, row_id, run_rows, split_hot, whole_keys
 
 GRAM = 32
 
@@ -47,31 +46,19 @@ def _bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return textops.byte_symbols(5)[data], offsets
 
 
-def _shared(runs: DataFrame) -> DataFrame:
-    """Runs whose anchor occurs more than once, with whether it has several contents."""
-    anchors = runs.groupBy("x_k").agg(F.count("*").alias("x_c"), F.min("x_h").alias("x_low"), F.max("x_h").alias("x_high"))
-    anchors = anchors.where("x_c > 1").select("x_k", (F.col("x_low") < F.col("x_high")).alias("x_mixed"))
-    return runs.join(anchors, "x_k").select(*RUN_NAMES, "x_mixed")
-
+def _byte_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.arange(len(data) + 1)
+    return at[:-1], at[1:], offsets
 
-def _cut(rows: DataFrame, contents: DataFrame, width: int) -> DataFrame:
-    """One row for each distinct content, with its bytes."""
-    schema = "x_k long, x_rid long, x_s int, x_n int, x_once boolean, x_bytes binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in textops.pieces(batches, "x_text", 1 << 22):
-            data, offsets = textops.utf8(piece.column("x_text"))
-            listed, owner = entries(piece)
-            k, s, n, once = (listed.field(x) for x in ("x_k", "x_s", "x_n", "x_once"))
-            cut = cut_out(data, offsets[owner] + s.to_numpy(), n.to_numpy().astype(np.int64) + width - 1)
-            rid = pa.array(piece.column("x_rid").to_numpy()[owner])
-            yield pa.RecordBatch.from_arrays([k, rid, s, n, once, cut], ["x_k", "x_rid", "x_s", "x_n", "x_once", "x_bytes"])
 
-    return with_text(rows, contents, ["x_k", "x_s", "x_n", "x_once"]).mapInArrow(run, schema)
+def _shared(runs: DataFrame) -> DataFrame:
+    """Runs whose anchor occurs more than once."""
+    anchors = runs.groupBy("x_k").agg(occurrences().alias("x_c")).where("x_c > 1").select("x_k")
+    return runs.join(anchors, "x_k").select(*RUN_NAMES)
 
 
 def _shard_spans(table: pa.Table, width: int) -> pa.RecordBatch:
-    """Repeated spans of the once-occurring contents of a shard."""
+    """Byte spans of repeated windows within the once-occurring contents of a shard."""
     body, at = bodies(table.column("x_bytes"))
     length = np.diff(at)
     text = np.full(len(body) + len(length) + 1, 255, np.uint8)
@@ -88,15 +75,14 @@ def _shard_spans(table: pa.Table, width: int) -> pa.RecordBatch:
     # a run of marked starts ends where marks stop or the next content begins
     stop = np.flatnonzero(np.diff(marked.astype(np.int8), append=0) == -1) + 1
     end = np.minimum(stop[np.searchsorted(stop, begin, "right")] if len(begin) else begin, at[owner + 1])
-    s = table.column("x_s").to_numpy()[owner].astype(np.int64)
-    rid = table.column("x_rid").to_numpy()[owner]
-    first = s + begin - at[owner]
-    last = s + end - at[owner] + width - 1
-    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["x_rid", "x_from", "x_to"])
+    chosen = pa.array(owner)
+    names = [table.column(x).combine_chunks().take(chosen) for x in ("x_k", "x_h")]
+    ends = [pa.array(x.astype(np.int32)) for x in (begin - at[owner], end - at[owner] + width - 1)]
+    return pa.RecordBatch.from_arrays([*names, *ends], ["x_k", "x_h", "x_from", "x_to"])
 
 
-def _sorted_spans(cut: DataFrame, width: int, shard_bytes: int) -> DataFrame:
-    """Spans found by the suffix arrays of all shards.
+def _sorted_spans(items: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+    """Spans found by the suffix arrays of all shards: ``x_k, x_h, x_from, x_to``.
 
     A partition is sorted by anchor and taken in stretches of whole anchors.
     """
@@ -105,7 +91,24 @@ def _sorted_spans(cut: DataFrame, width: int, shard_bytes: int) -> DataFrame:
         for shard in whole_keys(batches, "x_k", "x_bytes", shard_bytes):
             yield _shard_spans(shard, width)
 
-    return cut.repartition("x_k").sortWithinPartitions("x_k").mapInArrow(run, "x_rid long, x_from int, x_to int")
+    dealt = items.select("x_k", "x_h", "x_once", "x_bytes").repartition("x_k").sortWithinPartitions("x_k")
+    return dealt.mapInArrow(run, "x_k long, x_h long, x_from int, x_to int")
+
+
+def _content_spans(scratch: Scratch, items: DataFrame, width: int, span: int, hot: int, shard_bytes: int) -> DataFrame:
+    """Repeated spans of all items that occur once, as ``x_k, x_h, x_from, x_to``."""
+    few, many = split_hot(scratch, items, hot, span, str(span))
+    spans = _sorted_spans(few, width, shard_bytes)
+    if many is None:
+        return spans
+    parts = scratch.write(halve(many, _bytes, _byte_places, width, span // 2), f"parts_{span}")
+    same = parts.groupBy("x_k", "x_h").agg(F.count("*").alias("x_c"), F.max("x_n").alias("x_n"), F.min(F.struct("x_id", "x_a", "x_once", "x_bytes")).alias("x_one"))
+    known = scratch.write(same, f"known_{span}")
+    repeated = known.where("x_c > 1").select("x_k", "x_h", F.lit(0).alias("x_from"), (F.col("x_n") + width - 1).alias("x_to"))
+    several = known.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k")
+    deeper = known.join(several, "x_k").select("x_k", "x_h", "x_one.x_id", "x_n", "x_one.x_a", (F.col("x_one.x_once") & (F.col("x_c") == 1)).alias("x_once"), "x_one.x_bytes")
+    inner = _content_spans(scratch, scratch.write(deeper, f"items_{span}"), width, span // 2, hot, shard_bytes)
+    return spans.unionByName(part_of_whole(repeated.unionByName(inner), parts.where("x_once")))
 
 
 def repeated_spans(
@@ -117,42 +120,35 @@ def repeated_spans(
     width: int = 200,
     hot: int = 8000,
     shard_bytes: int = 1 << 20,
-    piece_bytes: int = 1 << 21,
+    piece_bytes: int = 1 << 19,
 ) -> DataFrame:
     """``x_rid long, x_spans array<struct<x_from,x_to>>``: byte ranges, not yet merged.
 
     ``hot`` bounds the distinct contents of an anchor that one task gathers
     (about ``1.5 * width`` bytes each).
     """
+    textops.bounded_batches(spark)
     scratch = Scratch(spark, "substrings")
     rows = documents.select(row_id(id_col, text_col).alias("x_rid"), F.lit(0).cast("long").alias("x_id"), F.col(text_col).alias("x_text"))
     runs = scratch.write(run_rows(rows, _bytes, width, GRAM, piece_bytes), "runs")
-    found, span, level = [], 1 << (width - GRAM).bit_length(), 0
-    while True:
-        shared = scratch.write(_shared(runs), f"shared{level}")
-        scratch.drop("runs" if level == 0 else f"runs{level}")
-        mixed = shared.where("x_mixed")
-        # one occurrence stands for all of a content
-        contents = scratch.write(mixed.groupBy("x_k", "x_h").agg(F.count("*").alias("x_c"), F.min(F.struct("x_rid", "x_s", "x_n")).alias("x_at")), f"contents{level}")
-        hot_keys = scratch.write(contents.groupBy("x_k").count().where(F.col("count") > hot).select("x_k"), f"hot{level}")
-        any_hot = span > 1 and not hot_keys.isEmpty()
-        whole = shared.where("not x_mixed").select("x_rid", "x_s", "x_n")
-        several = mixed.join(contents.where("x_c > 1").select("x_k", "x_h"), ["x_k", "x_h"]).select("x_rid", "x_s", "x_n")
-        covered = whole.unionByName(several).select("x_rid", F.col("x_s").alias("x_from"), (F.col("x_s") + F.col("x_n") + width - 1).alias("x_to"))
-        gathered = contents.join(hot_keys, "x_k", "left_anti") if any_hot else contents
-        flat = gathered.select("x_k", "x_at.x_rid", "x_at.x_s", "x_at.x_n", (F.col("x_c") == 1).alias("x_once"))
-        found.append(scratch.write(covered, f"covered{level}"))
-        found.append(scratch.write(_sorted_spans(_cut(rows, flat, width), width, shard_bytes), f"sorted{level}"))
-        if not any_hot:
-            scratch.drop(f"shared{level}", f"contents{level}", f"hot{level}")
-            break
-        span //= 2
-        runs = scratch.write(halved_rows(rows, mixed.join(hot_keys, "x_k", "left_semi"), _bytes, width, span), f"runs{level + 1}")
-        scratch.drop(f"shared{level}", f"contents{level}", f"hot{level}")
-        level += 1
-    spans = reduce(DataFrame.unionByName, found).groupBy("x_rid").agg(F.collect_list(F.struct("x_from", "x_to")).alias("x_spans"))
+    shared = scratch.write(_shared(runs), "shared")
+    scratch.drop("runs")
+    # one occurrence stands for all of a content
+    one = F.min(F.struct("x_id", "x_rid", "x_s", "x_n", "x_a")).alias("x_at")
+    contents = scratch.write(shared.groupBy("x_k", "x_h").agg(occurrences().alias("x_c"), one), "contents")
+    whole = every_start(shared.join(contents.where("x_c > 1").select("x_k", "x_h"), ["x_k", "x_h"]))
+    covered = scratch.write(whole.select("x_rid", F.col("x_s").alias("x_from"), (F.col("x_s") + F.col("x_n") + width - 1).alias("x_to")), "covered")
+    scratch.drop("shared")
+    several = contents.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k")
+    unlike = contents.join(several, "x_k").withColumn("x_once", F.col("x_c") == 1)
+    items = scratch.write(cut_contents(rows, unlike, _byte_places, width), "items")
+    found = scratch.write(_content_spans(scratch, items, width, 1 << (width - GRAM).bit_length(), hot, shard_bytes), "found")
+    scratch.drop("items")
+    once = contents.where("x_c = 1").select("x_k", "x_h", "x_at.x_rid", "x_at.x_s")
+    parted = found.join(once, ["x_k", "x_h"]).select("x_rid", (F.col("x_s") + F.col("x_from")).alias("x_from"), (F.col("x_s") + F.col("x_to")).alias("x_to"))
+    spans = covered.unionByName(parted).groupBy("x_rid").agg(F.collect_list(F.struct("x_from", "x_to")).alias("x_spans"))
     decided = scratch.write(spans, "spans")
-    scratch.drop(*[f"{kind}{i}" for i in range(level + 1) for kind in ("covered", "sorted")])
+    scratch.keep("spans")
     return decided
 
 
@@ -194,9 +190,11 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, *, id_col: str = "
     Characters of which a window covers only some bytes stay.
     """
     spans = repeated_spans(spark, documents, id_col=id_col, text_col=text_col, **options)
-    keyed = documents.withColumn("x_rid", row_id(id_col, text_col)).join(spans, "x_rid", "left")
     names = documents.columns
     at = names.index(text_col)
+    plain = [f"c{i}" for i in range(len(names))]  # extra columns may have any name
+    keyed = documents.select(row_id(id_col, text_col).alias("x_rid"), *[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)])
+    keyed = keyed.join(spans.hint("merge"), "x_rid", "left").select(*plain, "x_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +209,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, *, id_col: str = "
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return keyed.select(*names, "x_spans").mapInArrow(run, documents.schema)
+    return keyed.mapInArrow(run, documents.schema)
 
 
 def digest(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -230,7 +228,7 @@ def digest(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id",
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(spans, "x_rid", "left").select("x_id", "x_text", "x_spans")
+    joined = rows.join(spans.hint("merge"), "x_rid", "left").select("x_id", "x_text", "x_spans")
     return joined.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -17,12 +17,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .scratch import Scratch
 from .textops import RangeHash, mix, sliding_min
 
 #: Splits a piece's bytes into units: their 64-bit symbols and each row's first unit.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-RUNS = "x_rid long, x_id long, x_s int, x_n int, x_k long, x_h long, x_a int"
-RUN_NAMES = ["x_rid", "x_id", "x_s", "x_n", "x_k", "x_h", "x_a"]
+#: Gives a piece's units their first byte, the byte after their last, and each row's first unit.
+Places = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: A content: its anchor and content hash, its text's id, windows, the anchor's distance,
+#: whether it occurs once, and its bytes.  A part also names the item it was split from.
+ITEMS = "x_k long, x_h long, x_id long, x_n int, x_a int, x_once boolean, x_bytes binary"
+ITEM_NAMES = ["x_k", "x_h", "x_id", "x_n", "x_a", "x_once", "x_bytes"]
+PARTS = ITEMS + ", x_whole_k long, x_whole_h long, x_off int"
+PART_NAMES = [*ITEM_NAMES, "x_whole_k", "x_whole_h", "x_off"]
+#: A run's row: its text's row and id, first start, windows, anchor and content hash,
+#: the anchor's distance, and the other starts of the same content in the same text.
+RUNS = "x_rid long, x_id long, x_s int, x_n int, x_k long, x_h long, x_a int, x_more array<int>"
+RUN_NAMES = ["x_rid", "x_id", "x_s", "x_n", "x_k", "x_h", "x_a", "x_more"]
 
 #: Bits of the anchor value that hold the gram's place, to find the leftmost of equal grams.
 PLACE_BITS = 24
@@ -73,8 +84,26 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _batch(rid: np.ndarray, id_: np.ndarray, s: np.ndarray, n: np.ndarray, k: np.ndarray, h: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
-    ints = [pa.array(x.astype(np.int32)) for x in (s, n, a)]
-    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(id_), ints[0], ints[1], _signed(k), _signed(h), ints[2]], RUN_NAMES)
+    """Run rows; a content that a text repeats (as lines of junk do) is one row."""
+    order = np.lexsort((s, h, k, rid))
+    key = np.stack([x[order].view(np.int64) for x in (rid, k, h)])
+    new = np.ones(len(order), bool)
+    new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+    first = order[new]
+    at = np.cumsum(~new)[np.append(np.flatnonzero(new)[1:] - 1, len(order) - 1)] if len(order) else np.zeros(0, int)
+    more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at]).astype(np.int32)), pa.array(s[order[~new]].astype(np.int32)))
+    ints = [pa.array(x[first].astype(np.int32)) for x in (s, n, a)]
+    return pa.RecordBatch.from_arrays([pa.array(rid[first]), pa.array(id_[first]), ints[0], ints[1], _signed(k[first]), _signed(h[first]), ints[2], more], RUN_NAMES)
+
+
+def every_start(runs: DataFrame) -> DataFrame:
+    """Runs with one row for each start again."""
+    return runs.withColumn("x_s", F.explode(F.concat(F.array("x_s"), "x_more"))).drop("x_more")
+
+
+def occurrences() -> Column:
+    """How often a group of run rows occurs."""
+    return F.sum(1 + F.size("x_more"))
 
 
 def run_rows(rows: DataFrame, units: Units, window: int, gram: int, piece_bytes: int) -> DataFrame:
@@ -101,45 +130,77 @@ def run_rows(rows: DataFrame, units: Units, window: int, gram: int, piece_bytes:
     return rows.select("x_rid", "x_id", "x_text").mapInArrow(run, RUNS)
 
 
-def with_text(rows: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows that ``wanted`` names by ``x_rid``, with its entries as ``x_list``."""
-    lists = wanted.groupBy("x_rid").agg(F.collect_list(F.struct(*fields)).alias("x_list"))
-    return rows.join(lists, "x_rid").select("x_rid", "x_id", "x_text", "x_list")
-
-
-def entries(piece: pa.RecordBatch) -> tuple[pa.StructArray, np.ndarray]:
-    """The piece's ``x_list`` entries laid end to end, and the row of each."""
-    lists = piece.column("x_list")
-    return lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-
-
-def halved_rows(rows: DataFrame, hot: DataFrame, units: Units, window: int, span: int) -> DataFrame:
-    """Runs of hot anchors, split at multiples of ``span`` of the distance from the anchor.
+def cut_contents(rows: DataFrame, contents: DataFrame, places: Places, window: int) -> DataFrame:
+    """``ITEMS`` of the contents ``x_k, x_h, x_at{x_id, x_rid, x_s, x_n, x_a}, x_once``, cut out of their texts."""
 
-    The new key hashes the units that all windows of a piece's block share.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in textops.pieces(batches, "x_text", 1 << 19):
+            data, offsets = textops.utf8(piece.column("x_text"))
+            starts, ends, first = places(data, offsets)
+            lists = piece.column("x_list")
+            listed, owner = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            unit = first[owner] + listed.field("x_s").to_numpy()
+            begin, end = starts[unit], ends[unit + listed.field("x_n").to_numpy() + window - 2]
+            id_ = pa.array(piece.column("x_id").to_numpy()[owner])
+            columns = [listed.field("x_k"), listed.field("x_h"), id_, listed.field("x_n"), listed.field("x_a"), listed.field("x_once"), cut_out(data, begin, end - begin)]
+            yield pa.RecordBatch.from_arrays(columns, ITEM_NAMES)
+
+    wanted = contents.select(F.col("x_at.x_rid").alias("x_rid"), F.struct("x_k", "x_h", "x_at.x_s", "x_at.x_n", "x_at.x_a", "x_once").alias("x_entry"))
+    lists = wanted.groupBy("x_rid").agg(F.collect_list("x_entry").alias("x_list"))
+    return rows.join(lists, "x_rid").select("x_id", "x_text", "x_list").mapInArrow(run, ITEMS)
+
+
+def halve(items: DataFrame, units: Units, places: Places, window: int, span: int) -> DataFrame:
+    """Items split at multiples of ``span`` of the distance from their anchor: ``PARTS``.
+
+    The new key hashes the units that all windows of a part's block share, so
+    equal windows stay together while the others fall apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in textops.pieces(batches, "x_text", 1 << 21):
-            symbols, offsets = units(*textops.utf8(piece.column("x_text")))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offsets = bodies(batch.column("x_bytes"))
+            symbols, first = units(data, offsets)
+            starts, ends, _ = places(data, offsets)
             ranged = RangeHash(symbols)
-            listed, owner = entries(piece)
-            s, n, a = (listed.field(x).to_numpy().astype(np.int64) for x in ("x_s", "x_n", "x_a"))
-            low = (a - n + 1) // span  # block of the last start, the nearest to the anchor
+            n, a = (batch.column(x).to_numpy().astype(np.int64) for x in ("x_n", "x_a"))
+            low = (a - n + 1) // span  # block of the last window, the nearest to the anchor
             blocks = a // span - low + 1
-            of = np.repeat(np.arange(len(s)), blocks)
+            of = np.repeat(np.arange(len(n)), blocks)
             block = low[of] + textops.ranges(blocks)
-            anchor = (s + a)[of]
-            begin = np.maximum(s[of], anchor - (block + 1) * span + 1)
-            last = np.minimum((s + n - 1)[of], anchor - block * span)
-            base = offsets[owner[of]]
-            core = ranged.of(base + anchor - block * span, base + anchor - (block + 1) * span + 1 + window)
+            anchor = first[of] + a[of]
+            begin = np.maximum(first[of], anchor - (block + 1) * span + 1)
+            last = np.minimum(first[of] + n[of] - 1, anchor - block * span)
+            core = ranged.of(anchor - block * span, anchor - (block + 1) * span + 1 + window)
             key = mix(core + mix(block.astype(np.uint64) * np.uint64(2 * span + 1)))
-            content = mix(ranged.of(base + begin, base + last + window))
-            rid, id_ = (piece.column(x).to_numpy()[owner[of]] for x in ("x_rid", "x_id"))
-            yield _batch(rid, id_, begin, last - begin + 1, key, content, anchor - begin)
+            content = mix(ranged.of(begin, last + window))
+            body = cut_out(data, starts[begin], ends[last + window - 1] - starts[begin])
+            chosen = pa.array(of)
+            whole = [batch.column(x).take(chosen) for x in ("x_k", "x_h")]
+            ints = [pa.array(x.astype(np.int32)) for x in (begin - first[of], last - begin + 1, anchor - begin)]
+            columns = [_signed(key), _signed(content), batch.column("x_id").take(chosen), ints[1], ints[2], batch.column("x_once").take(chosen), body, *whole, ints[0]]
+            yield pa.RecordBatch.from_arrays(columns, PART_NAMES)
+
+    return items.select(*ITEM_NAMES).mapInArrow(run, PARTS)
+
 
-    return with_text(rows, hot, ["x_s", "x_n", "x_a"]).mapInArrow(run, RUNS)
+def part_of_whole(spans: DataFrame, parts: DataFrame) -> DataFrame:
+    """Spans of parts as spans of the items they were split from."""
+    own = parts.select("x_k", "x_h", "x_whole_k", "x_whole_h", "x_off").distinct()
+    return spans.join(own, ["x_k", "x_h"]).select(F.col("x_whole_k").alias("x_k"), F.col("x_whole_h").alias("x_h"), (F.col("x_from") + F.col("x_off")).alias("x_from"), (F.col("x_to") + F.col("x_off")).alias("x_to"))
+
+
+def split_hot(scratch: Scratch, items: DataFrame, hot: int, span: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Items whose key has at most ``hot`` of them, and the others if there are any.
+
+    A key that is a single window has one item, so nothing is left to split there.
+    """
+    keys = scratch.write(items.groupBy("x_k").agg(F.count("*").alias("x_d")).where(F.col("x_d") > hot).select("x_k"), f"hot_{name}")
+    if span <= 1 or keys.isEmpty():
+        return items, None
+    return items.join(keys, "x_k", "left_anti"), items.join(keys, "x_k", "left_semi")
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], key: str, body: str, limit: int) -> Iterator[pa.Table]:
@@ -169,9 +230,9 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
 
 
-def bodies(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def bodies(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a binary column."""
-    whole = column.combine_chunks().cast(pa.large_binary())
+    whole = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
     at = _offsets(whole)
     return np.frombuffer(whole.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
