@@ -36,6 +36,8 @@ CATEGORY_TERMS = {
     "contempt": ("disgusting", "pathetic", "stupid", "worthless"),
 }
 CHAIN = (*CATEGORY_TERMS, "toxic")
+#: How often each term stands for a training text (words seen less than three times are not learnt).
+TERM_ROWS = 3
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
 
@@ -97,18 +99,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _fit_link(row: np.ndarray, word: np.ndarray, n: int, size: int, extra: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.2, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the words, then of the ``extra`` columns, then the intercept (Adam)."""
+    """Weights of the words, then of the ``extra`` columns, then the intercept (Adam).
+
+    Words count by the logarithm of how much more of the one kind of rows holds
+    them, so a few telling words outweigh many accidental ones.
+    """
+    share = [(np.bincount(word[own], minlength=size) + 0.5) / (k.sum() + 1) for k, own in ((k, k[row]) for k in (y == 1, y != 1))]
+    ratio = np.log(share[0] / share[1])
     theta = np.zeros(size + extra.shape[1] + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     for k in range(1, rounds + 1):
-        z = np.bincount(row, theta[word], n) + extra @ theta[size:-1] + theta[-1]
+        z = np.bincount(row, (theta[:size] * ratio)[word], n) + extra @ theta[size:-1] + theta[-1]
         error = (_sigmoid(z) - y) * balance
-        gradient = np.concatenate([np.bincount(word, error[row], size), extra.T @ error, [error.sum()]])
+        gradient = np.concatenate([np.bincount(word, error[row], size) * ratio, extra.T @ error, [error.sum()]])
         gradient[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
-    return theta
+    return np.concatenate([theta[:size] * ratio, theta[size:]])
 
 
 def _apply_link(theta: np.ndarray, row: np.ndarray, word: np.ndarray, n: int, extra: np.ndarray) -> np.ndarray:
@@ -138,6 +146,9 @@ def train(texts: list[str], toxic: np.ndarray, words: int = 2000, folds: int = 3
     """Choose ``words`` words and fit the links, each on out-of-fold earlier links."""
     if len(set(toxic.tolist())) < 2:
         return Chain(np.zeros(0, np.uint64), ())
+    # every term is a toxic text of its own, which matters where few toxic rows are labelled
+    own = [t for terms in CATEGORY_TERMS.values() for t in terms] * TERM_ROWS
+    texts, toxic = [*texts, *own], np.append(toxic, np.ones(len(own), toxic.dtype))
     n = len(texts)
     row, hashes = _distinct(texts)
     all_words, word = np.unique(hashes, return_inverse=True)  # the first is 0, "no stem", which rows of both kinds hold
