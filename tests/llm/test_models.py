@@ -59,7 +59,7 @@ def test_single_kind_of_label():
 def test_toxicity_on_held_out_documents(labelled):
     train, held = labelled
     held = [r for r in held if r.quality]  # junk keeps the label of the text it replaced
-    chosen = [r for r in train if r.toxic][:400] + [r for r in train if not r.toxic][:400]
+    chosen = [r for r in train if r.toxic][:1200] + [r for r in train if not r.toxic][:1200]
     chain = toxicity.train([r.text for r in chosen], np.array([r.toxic for r in chosen]))
     p = chain.probabilities(pa.array([r.text for r in held], pa.large_string()))[:, -1]
     y = np.array([r.toxic for r in held])
