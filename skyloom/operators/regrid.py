@@ -163,8 +163,16 @@ def regrid(cells: DataFrame, source: tuple[Axis, Axis], target: tuple[Axis, Axis
     missing cells is the mean of the contributing sources, without it their sum.
     """
     spark = cells.sparkSession
-    wy = weight_table(spark, axis_weights(method, source[0], target[0], sphere=sphere), "ty", "y", "wy")
-    wx = weight_table(spark, axis_weights(method, source[1], target[1], periodic=source[1].periodic), "tx", "x", "wx")
+    weights = axis_weights(method, source[0], target[0], sphere=sphere), axis_weights(method, source[1], target[1], periodic=source[1].periodic)
+    wy = weight_table(spark, weights[0], "ty", "y", "wy")
+    wx = weight_table(spark, weights[1], "tx", "x", "wx")
     found = combine(cells, wy, wx, F.col(value), skipna=skipna, na_thres=na_thres, mean=method == "nearest_d2s" and skipna, time=time)
-    grid = cells.select(time).distinct().crossJoin(F.broadcast(spark.range(len(target[0])).select(F.col("id").cast("int").alias("ty")))).crossJoin(F.broadcast(spark.range(len(target[1])).select(F.col("id").cast("int").alias("tx"))))
-    return grid.join(found, [time, "ty", "tx"], "left").select(time, F.col("ty").alias("y"), F.col("tx").alias("x"), "value")
+    found = found.select(time, F.col("ty").alias("y"), F.col("tx").alias("x"), "value")
+    bare_y, bare_x = (sorted(set(range(len(a))) - {w[0] for w in own}) for a, own in zip(target, weights, strict=True))
+    if not bare_y and not bare_x:
+        return found
+    # cells are dense, so every reached target cell has a row already; the others are added without a join
+    grid = spark.range(len(target[0]) * len(target[1])).select((F.col("id") / len(target[1])).cast("int").alias("y"), (F.col("id") % len(target[1])).cast("int").alias("x"))
+    rest = grid.where(F.col("y").isin(bare_y) | F.col("x").isin(bare_x))
+    times = cells.select(time).distinct()
+    return found.unionByName(times.crossJoin(F.broadcast(rest)).select(time, "y", "x", F.lit(None).cast("double").alias("value")))
