@@ -171,6 +171,18 @@ def decoded_time(value: Column, units: str) -> Column:
     return F.timestamp_seconds(origin + value * seconds).cast("date")
 
 
+def time_kind(units: str | None, values: Sequence[float] = ()) -> str | None:
+    """What a file's own time coordinate tells: ``full`` dates, a day of year (``doy``), a bare ``number``, or nothing."""
+    if units is None and not len(values):
+        return None
+    text = (units or "").strip().lower()
+    if " since " in text:
+        return "full"
+    if text in ("doy", "day", "days", "day of year") and all(1 <= v <= 366 for v in values):
+        return "doy"
+    return "number"
+
+
 def duplicate_dates(files: DataFrame, time: str = "t", path: str = "path") -> DataFrame:
     """Dates that several files claim, with the files."""
     grouped = files.groupBy(time).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(path)).alias("paths"))

@@ -78,6 +78,18 @@ def plan_chunks(shape: tuple[int, int, int], item_size: int, strategy: str, *, m
     return ChunkPlan(strategy, (nt, cy, cx))
 
 
+def regridded_chunks(source: Sequence[int], shape: Sequence[int]) -> tuple[int, ...]:
+    """Chunks after regridding: the source's, no larger than the new shape."""
+    return tuple(min(c, n) for c, n in zip(source, shape, strict=True))
+
+
+def same_layout(old: ChunkPlan, new: ChunkPlan, old_codec: Codec, new_codec: Codec) -> str:
+    """What a change of layout amounts to: ``copy``, ``recompress`` (chunks stay) or ``rechunk``."""
+    if old.chunks != new.chunks:
+        return "rechunk"
+    return "copy" if old_codec == new_codec or new_codec.name == "none" else "recompress"
+
+
 def gcd_chunk(sizes: Iterable[int]) -> int:
     """Largest stretch of time that no variable's chunks cut."""
     return math.gcd(*sizes)

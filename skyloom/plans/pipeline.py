@@ -199,6 +199,29 @@ def preview(lat: Sequence[float], lon: Sequence[float], times: int, config: Conf
     return build_plan(lat, lon, times, config).explain()
 
 
+def provenance(plan: Plan) -> dict[str, str]:
+    """How a product came about, as attributes."""
+    config = plan.config
+    out = {"chunks": str(plan.chunks.chunks), "codec": plan.codec.name}
+    if plan.regridding:
+        out |= {
+            "resample_method": config.method,
+            "resample_skipna": str(config.skipna).lower(),
+            "resample_na_thres": str(config.na_thres),
+            "source_resolution": f"{plan.source[0].resolution:g},{plan.source[1].resolution:g}",
+            "target_resolution": f"{plan.target[0].resolution:g}",
+            "target_extent": config.extent,
+            "rules_before": "; ".join(f"{r.comparison}{r.threshold.text} -> {r.result.text}" for r in plan.before),
+            "rules_after": "; ".join(f"{r.comparison}{r.threshold.text} -> {r.result.text}" for r in plan.after),
+        }
+    return out
+
+
+def cancel(spark, group: str) -> None:
+    """Stop the jobs of a run that was started with this group."""
+    spark.sparkContext.cancelJobGroup(group)
+
+
 @dataclass
 class Result:
     """What a run wrote."""
@@ -209,8 +232,13 @@ class Result:
     warnings: tuple[str, ...] = field(default=())
 
 
-def run(cells: DataFrame, lat: Sequence[float], lon: Sequence[float], config: Config, target: str, temporary: str, overwrite: bool = False) -> Result:
-    """Plan, build, write once, and publish; the job's folder tells how it went."""
+def run(cells: DataFrame, lat: Sequence[float], lon: Sequence[float], config: Config, target: str, temporary: str, overwrite: bool = False, group: str | None = None) -> Result:
+    """Plan, build, write once, and publish; the job's folder tells how it went.
+
+    With a ``group`` the run can be cancelled, and then be resumed.
+    """
+    if group:
+        cells.sparkSession.sparkContext.setJobGroup(group, "skyloom pipeline", interruptOnCancel=True)
     times = cells.select("t").distinct().count()
     plan = build_plan(lat, lon, times, config)
     check_capacity(Path(target).parent, axes.logical_bytes(plan.shape, [8]))
@@ -219,11 +247,12 @@ def run(cells: DataFrame, lat: Sequence[float], lon: Sequence[float], config: Co
         rows = with_time_index(product(cells, plan, str(job.root / "resampled")))
         if plan.regridding and plan.barrier:
             job.finish_stage("resample", str(job.root / "resampled"), -1)
-        written = write_product(rows, target, plan.chunks, plan.codec, {"decisions": plan.decisions}, overwrite)
+        written = write_product(rows, target, plan.chunks, plan.codec, {"decisions": plan.decisions, "attrs": provenance(plan)}, overwrite)
         job.finish_stage("publish", None, written)
         job.end("succeeded")
     except Exception as error:
-        job.end("failed", f"{type(error).__name__}: {error}")
+        cancelled = "cancelled" in str(error).lower()
+        job.end("cancelled" if cancelled else "failed", f"{type(error).__name__}: {error}")
         raise
     return Result(written, plan.decisions, job.root, plan.warnings)
 

@@ -97,6 +97,38 @@ def write_product(cells: DataFrame, target: str, plan: ChunkPlan, codec: Codec,
     return rows
 
 
+def measured_capacity(parent: Path, sample_bytes: int, sample_cells: int, cells: int) -> int:
+    """Bytes projected from a measured sample; an error beyond 95 % of what is free."""
+    projected = int(sample_bytes / max(sample_cells, 1) * cells * SAFETY)
+    free = shutil.disk_usage(parent).free
+    if projected > 0.95 * free:
+        raise PublishError(f"{projected} bytes projected, {free} free")
+    return projected
+
+
+def copy_product(source: str, target: str, overwrite: bool = False) -> None:
+    """Copy a product whose layout and codec are already those wanted; links are refused."""
+    origin, goal = Path(source), Path(target)
+    check_target(goal, overwrite)
+    if any(p.is_symlink() for p in [origin, *origin.rglob("*")]):
+        raise PublishError(f"{origin} holds links")
+    staged = staging_path(goal)
+    try:
+        shutil.copytree(origin, staged)
+        publish(staged, goal, overwrite)
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
+
+
+def next_output(source: str) -> Path:
+    """A free name beside a product: ``<name>_rechunked_<n>``."""
+    origin = Path(source.rstrip("/"))
+    n = 1
+    while (found := origin.with_name(f"{origin.stem}_rechunked_{n}{origin.suffix}")).exists():
+        n += 1
+    return found
+
+
 @dataclass
 class Job:
     """A run's folder with its manifest and events."""
