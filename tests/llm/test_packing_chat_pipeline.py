@@ -7,15 +7,20 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from skyloom.llm import chat, packing, quality, simhash
 
 
+VOCABULARY = Tokenizer.from_file(packing.default_tokenizer())
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
-    return Tokenizer.from_file(packing.default_tokenizer())
+    return VOCABULARY
 
 
 def check_packing(rows, texts, tokenizer, size=1024):
@@ -52,6 +57,16 @@ def test_packing_places_every_token(spark, tokenizer):
     assert sequences <= 1.02 * -(-tokens // 1024) + 1
 
 
+PIECES = ["'s", "<|endoftext|>", "<|", " ", "\n", "\u00a0", "\u2003", "\x85", "Ab", "1", "\u00b2", "\u2026", "\t", "\r\n", "'ll", "\u0130", "\u00df", "\x00", "\ufeff", "e\u0301", "\U0001f600"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(PIECES), max_size=12).map("".join)))
+def test_ranks_give_the_ids_of_the_vocabulary(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert list(packing._encoder(packing.default_tokenizer())(text)) == VOCABULARY.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_nothing_and_of_repeats(spark):
     schema = "doc_id long, text string, x_len int"
     assert packing.pack(spark, spark.createDataFrame([], schema)).count() == 0
