@@ -51,9 +51,13 @@ def _byte_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return at[:-1], at[1:], offsets
 
 
-def _shared(runs: DataFrame) -> DataFrame:
-    """Runs whose anchor occurs more than once."""
-    anchors = runs.groupBy("x_k").agg(occurrences().alias("x_c")).where("x_c > 1").select("x_k")
+def _shared(scratch: Scratch, runs: DataFrame) -> DataFrame:
+    """Runs whose anchor occurs more than once.
+
+    The anchors are written first: a join of two plain shuffles is one whose
+    skewed partitions Spark can split.
+    """
+    anchors = scratch.write(runs.groupBy("x_k").agg(occurrences().alias("x_c")).where("x_c > 1").select("x_k"), "anchors")
     return runs.join(anchors, "x_k").select(*RUN_NAMES)
 
 
@@ -131,15 +135,15 @@ def repeated_spans(
     scratch = Scratch(spark, "substrings")
     rows = documents.select(row_id(id_col, text_col).alias("x_rid"), F.lit(0).cast("long").alias("x_id"), F.col(text_col).alias("x_text"))
     runs = scratch.write(run_rows(rows, _bytes, width, GRAM, piece_bytes), "runs")
-    shared = scratch.write(_shared(runs), "shared")
-    scratch.drop("runs")
+    shared = scratch.write(_shared(scratch, runs), "shared")
+    scratch.drop("runs", "anchors")
     # one occurrence stands for all of a content
     one = F.min(F.struct("x_id", "x_rid", "x_s", "x_n", "x_a")).alias("x_at")
     contents = scratch.write(shared.groupBy("x_k", "x_h").agg(occurrences().alias("x_c"), one), "contents")
     whole = every_start(shared.join(contents.where("x_c > 1").select("x_k", "x_h"), ["x_k", "x_h"]))
     covered = scratch.write(whole.select("x_rid", F.col("x_s").alias("x_from"), (F.col("x_s") + F.col("x_n") + width - 1).alias("x_to")), "covered")
     scratch.drop("shared")
-    several = contents.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k")
+    several = scratch.write(contents.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k"), "several")
     unlike = contents.join(several, "x_k").withColumn("x_once", F.col("x_c") == 1)
     items = scratch.write(cut_contents(rows, unlike, _byte_places, width), "items")
     found = scratch.write(_content_spans(scratch, items, width, 1 << (width - GRAM).bit_length(), hot, shard_bytes), "found")
