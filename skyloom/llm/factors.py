@@ -49,9 +49,14 @@ def _word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return textops.word_bounds(data, offsets, IS_WORD)
 
 
-def _shared(runs: DataFrame) -> DataFrame:
-    """Runs whose anchor occurs in documents with different ids."""
-    anchors = runs.groupBy("x_k").agg(F.min("x_id").alias("x_first"), F.max("x_id").alias("x_last")).where("x_first < x_last").select("x_k")
+def _shared(scratch: Scratch, runs: DataFrame) -> DataFrame:
+    """Runs whose anchor occurs in documents with different ids.
+
+    The anchors are written first: a join of two plain shuffles is one whose
+    skewed partitions Spark can split.
+    """
+    ids = runs.groupBy("x_k").agg(F.min("x_id").alias("x_first"), F.max("x_id").alias("x_last"))
+    anchors = scratch.write(ids.where("x_first < x_last").select("x_k"), "anchors")
     return runs.join(anchors, "x_k").select(*RUN_NAMES)
 
 
@@ -146,15 +151,15 @@ def duplicate_spans(
     scratch = Scratch(spark, "factors")
     rows = documents.select(row_id(id_col, text_col).alias("x_rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("x_id"), F.col(text_col).alias("x_text"))
     runs = scratch.write(run_rows(rows, _words, width, GRAM, piece_bytes), "runs")
-    shared = scratch.write(_shared(runs), "shared")
-    scratch.drop("runs")
+    shared = scratch.write(_shared(scratch, runs), "shared")
+    scratch.drop("runs", "anchors")
     contents = scratch.write(shared.groupBy("x_k", "x_h").agg(F.min(F.struct("x_id", "x_rid", "x_s", "x_n", "x_a")).alias("x_at")), "contents")
     firsts = contents.select("x_k", "x_h", F.col("x_at.x_id").alias("x_first"))
     dated = scratch.write(shared.join(firsts, ["x_k", "x_h"]).select("x_rid", "x_id", "x_s", "x_n", "x_k", "x_h", "x_more", "x_first"), "dated")
     scratch.drop("shared")
     later = every_start(dated.where("x_id > x_first"))
     whole = later.select("x_rid", F.col("x_s").alias("x_from"), (F.col("x_s") + F.col("x_n") + width - 1).alias("x_to"))
-    several = contents.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k")
+    several = scratch.write(contents.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k"), "several")
     items = scratch.write(cut_contents(rows, contents.join(several, "x_k").withColumn("x_once", F.lit(True)), _word_places, width), "items")
     factors = scratch.write(_content_spans(scratch, items, width, 1 << (width - GRAM).bit_length(), hot, shard_bytes), "factors")
     scratch.drop("items")
