@@ -35,11 +35,11 @@ from .textops import bounded_batches
 POSITIONS = 8
 
 
-def fingerprint(text: str, shingle: int, seed: int) -> int:
-    """Majority bits of the XXH64 of all word shingles, repeats included."""
+def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; a text of fewer words is one shingle."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     width = min(shingle, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -47,8 +47,12 @@ def fingerprint(text: str, shingle: int, seed: int) -> int:
     starts = ends - lengths
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
-    return _majority(hashes)
+    return np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+
+
+def fingerprint(text: str, shingle: int, seed: int) -> int:
+    """Majority bits of the XXH64 of all word shingles, repeats included."""
+    return _majority(shingle_hashes(text, shingle, seed))
 
 
 def _majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
