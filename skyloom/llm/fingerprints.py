@@ -10,8 +10,8 @@ either document reaches.  Subsets of
 several densities serve short and long documents alike.
 
 Only DataFrame functions run here.  The lexicon's size is bounded by the band
-(at most mean distinct terms / ``low``), so it travels as a bitmap probed twice;
-a term outside the band passes it rarely, and then in every document.
+(at most mean distinct terms / ``low``), so it travels as a bitmap probed twice,
+and as a table of the terms' hashes that decides about what passes the bitmap.
 
 Edge cases: a null text is empty; a text without lexicon terms is fingerprinted
 over all its terms, one without terms by its characters, and an empty one by
@@ -32,7 +32,7 @@ from .scratch import Scratch
 
 #: At each density, a random part of the lexicon is split into subsets of one term in
 #: 2**density; so many subsets at most.  Subset 0 is the whole lexicon.
-DENSITIES = (5, 8, 11)
+DENSITIES = (3, 5, 7, 9, 11)
 SUBSETS_EACH = 32
 #: Rows of a group whose successors are found together; groups there can be at most.
 GROUP_ROWS, GROUPS = 512, 1 << 16
@@ -40,20 +40,28 @@ GROUP_ROWS, GROUPS = 512, 1 << 16
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Bitmap of the band's term hashes, as a literal array of longs with 2**log2 bits."""
+    """Bitmap of the band's term hashes, as a literal array of longs with 2**log2 bits, and a cuckoo table of the hashes."""
 
     bits: Column
     log2: int
     size: int
+    table: Column
+    table_log2: int
 
     def holds(self, term: Column) -> Column:
-        """Whether both probes of a term's hash are set."""
+        """Whether a term's hash is in the table; the bitmap turns most others away first."""
         mask = (1 << self.log2) - 1
 
         def probe(slot: Column) -> Column:
             return F.getbit(F.get(self.bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
 
-        return probe(term.bitwiseAND(mask)) & probe(F.shiftrightunsigned(term, 32).bitwiseAND(mask))
+        slots = (1 << self.table_log2) - 1
+
+        def stored(slot: Column) -> Column:
+            return F.get(self.table, slot.bitwiseAND(slots).cast("int")) == term
+
+        high = F.shiftrightunsigned(term, 32)
+        return probe(term.bitwiseAND(mask)) & probe(high.bitwiseAND(mask)) & (stored(term) | stored(high))
 
 
 def term_hashes(text: Column) -> Column:
@@ -61,20 +69,42 @@ def term_hashes(text: Column) -> Column:
     return F.transform(F.array_distinct(normalised_words(text)), lambda term: F.xxhash64(term))
 
 
+def _cuckoo(hashes: list[int]) -> tuple[list[int], int]:
+    """Table in which each hash is at the slot of its low or of its high 32 bits, and the logarithm of its size."""
+    log2 = max(4, (2 * len(hashes)).bit_length())
+    while True:
+        table, mask = [None] * (1 << log2), (1 << log2) - 1
+        for h in hashes:
+            slot = h & mask
+            for _ in range(500):
+                h, table[slot] = table[slot], h
+                if h is None:
+                    break
+                slot = (h >> 32) & mask if slot == h & mask else h & mask
+            else:
+                break  # a cycle: a larger table separates it
+        else:
+            # 0 marks a free slot; only the hash 0 itself looks for it, and only in slot 0
+            return [-1 if x is None and i == 0 else x or 0 for i, x in enumerate(table)], log2
+        log2 += 1
+
+
 def build_lexicon(texts: DataFrame, text_col: str, low: float, high: float) -> Lexicon:
     """Terms that at least ``low`` and at most ``high`` of all documents hold."""
     total = texts.count()
     terms = texts.select(F.explode(term_hashes(F.col(text_col))).alias("x_t")).groupBy("x_t").agg(F.count("*").alias("x_df"))
     band = terms.where((F.col("x_df") >= max(2, low * total)) & (F.col("x_df") <= max(2, high * total))).select("x_t")
     hashes = [r.x_t for r in band.collect()]  # bounded by mean distinct terms / low
-    log2 = max(12, min(22, (16 * len(hashes)).bit_length()))
+    log2 = max(12, min(22, (32 * len(hashes)).bit_length()))
     longs = [0] * (1 << (log2 - 6))
     mask = (1 << log2) - 1
     for h in hashes:
         for slot in (h & mask, (h >> 32) & mask):
             longs[slot >> 6] |= 1 << (slot & 63)
     signed = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)
-    return Lexicon(F.split(F.lit(signed), ",").cast("array<bigint>"), log2, len(hashes))
+    table, table_log2 = _cuckoo(hashes)
+    stored = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    return Lexicon(F.split(F.lit(signed), ",").cast("array<bigint>"), log2, len(hashes), stored, table_log2)
 
 
 def _members(basis: Column, level: int, density: int) -> Column:
@@ -160,7 +190,7 @@ def fingerprint_documents(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    low: float = 0.002,
+    low: float = 0.001,
     high: float = 0.1,
 ) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and their likenesses.
