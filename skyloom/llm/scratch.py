@@ -15,11 +15,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
+#: Whether Spark deletes a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
+    """The cluster's shared folder.
+
+    Only a local session, whose tasks see the driver's disk, may go without one: a
+    temporary folder then takes its place.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="skyloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
         atexit.register(_remove_local, configured)
@@ -50,12 +58,18 @@ class Scratch:
         atexit.register(self._at_exit)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as a Parquet table and return a frame reading it back."""
+        """Write ``df`` as a Parquet table and return a frame reading it back.
+
+        The write's shuffle files are deleted when it ends.
+        """
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEAN_UP)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         self._paths[name] = path
-        # shuffle files of the finished write go once the driver's JVM has collected their owners
-        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

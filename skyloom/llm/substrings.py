@@ -5,18 +5,19 @@
 2. Anchors seen once cannot belong to a repeated window.  Counts are aggregated
    before the shuffle, so a passage in a third of all documents costs one row a
    task.
-3. Runs whose whole content occurs more than once are repeated as they stand.
-   Where an anchor has several contents, one occurrence of each is cut out of
-   its text and sent to the anchor's shard.
+3. Of each distinct content of the other anchors one occurrence is cut out of its
+   text and sent to the anchor's shard; a content that occurs again is laid into
+   the shard's text twice.
 4. Each shard, a bounded stretch of text, gets a suffix array by induced sorting
    and the permuted common prefixes of its neighbours; a start whose neighbour
-   shares ``width`` bytes is repeated.
+   shares ``width`` bytes is repeated.  The spans found hold for all occurrences.
 5. Anchors with more than ``hot`` distinct contents are not gathered.  Those
    contents are split by the distance from the anchor, so that a part's shared
    core becomes its key, again and again with half the span, down to single
-   windows, whose equality the key alone decides.
+   windows.
 
-Rows are told apart by a hash of id and text, so ids may repeat or be null.
+Rows are told apart by 128 bits of a hash of id and text, so ids may repeat or be
+null; occurrences of one content by 128 bits of a hash of its bytes.
 
 Edge cases: a null text is empty and a text shorter than the window has no
 repeats; a row repeated in the table repeats all its windows; very long texts are
@@ -37,18 +38,13 @@ from pyspark.sql import functions as F
 from . import textops
 from .scratch import Scratch
 from .suffix import repeated_starts
-from .windows import RUN_NAMES, bodies, cut_contents, every_start, halve, occurrences, part_of_whole, row_id, run_rows, split_hot, whole_keys
+from .windows import RUN_NAMES, Units, bodies, cut_contents, distinct_items, every_start, halve, occurrences, part_of_whole, row_id, run_rows, split_hot, whole_keys
 
 GRAM = 32
 
 
-def _bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return textops.byte_symbols(5)[data], offsets
-
-
-def _byte_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.arange(len(data) + 1)
-    return at[:-1], at[1:], offsets
+def _read(data: np.ndarray, offsets: np.ndarray) -> Units:
+    return Units(np.ascontiguousarray(data), textops.byte_symbols(5)[data], offsets, lambda begin, end: (begin, end))
 
 
 def _shared(scratch: Scratch, runs: DataFrame) -> DataFrame:
@@ -62,16 +58,19 @@ def _shared(scratch: Scratch, runs: DataFrame) -> DataFrame:
 
 
 def _shard_spans(table: pa.Table, width: int) -> pa.RecordBatch:
-    """Byte spans of repeated windows within the once-occurring contents of a shard."""
+    """Byte spans of the repeated windows of a shard's contents; those that occur again are laid out twice."""
     body, at = bodies(table.column("x_bytes"))
     length = np.diff(at)
-    text = np.full(len(body) + len(length) + 1, 255, np.uint8)
-    target = np.arange(len(body)) + np.repeat(np.arange(len(length)), length)
-    text[target] = np.minimum(body, 253) + 1
+    twice = np.flatnonzero(~table.column("x_once").to_numpy())
+    laid = np.concatenate([np.arange(len(length)), twice])
+    size = length[laid]
+    text = np.full(int(size.sum()) + len(laid) + 1, 255, np.uint8)
+    target = np.arange(int(size.sum())) + np.repeat(np.arange(len(laid)), size)
+    text[target] = np.minimum(body[np.repeat(at[laid], size) + textops.ranges(size)], 253) + 1
     text[-1] = 0
-    marked = repeated_starts(text, width)[target]
+    marked = repeated_starts(text, width)[target[: len(body)]]
     # only whole windows count: common prefixes may run across separators
-    marked &= np.repeat(table.column("x_once").to_numpy(), length) & (textops.ranges(length) <= np.repeat(length - width, length))
+    marked &= textops.ranges(length) <= np.repeat(length - width, length)
     edge = np.diff(marked.astype(np.int8), prepend=0)
     edge[at[:-1][marked[at[:-1]]]] = 1
     begin = np.flatnonzero(edge == 1)
@@ -96,23 +95,23 @@ def _sorted_spans(items: DataFrame, width: int, shard_bytes: int) -> DataFrame:
             yield _shard_spans(shard, width)
 
     dealt = items.select("x_k", "x_h", "x_once", "x_bytes").repartition("x_k").sortWithinPartitions("x_k")
-    return dealt.mapInArrow(run, "x_k long, x_h long, x_from int, x_to int")
+    return dealt.mapInArrow(run, "x_k long, x_h binary, x_from int, x_to int")
 
 
 def _content_spans(scratch: Scratch, items: DataFrame, width: int, span: int, hot: int, shard_bytes: int) -> DataFrame:
-    """Repeated spans of all items that occur once, as ``x_k, x_h, x_from, x_to``."""
+    """Repeated spans of all items, as ``x_k, x_h, x_from, x_to``."""
     few, many = split_hot(scratch, items, hot, span, str(span))
     spans = _sorted_spans(few, width, shard_bytes)
     if many is None:
         return spans
-    parts = scratch.write(halve(many, _bytes, _byte_places, width, span // 2), f"parts_{span}")
-    same = parts.groupBy("x_k", "x_h").agg(F.count("*").alias("x_c"), F.max("x_n").alias("x_n"), F.min(F.struct("x_id", "x_a", "x_once", "x_bytes")).alias("x_one"))
-    known = scratch.write(same, f"known_{span}")
-    repeated = known.where("x_c > 1").select("x_k", "x_h", F.lit(0).alias("x_from"), (F.col("x_n") + width - 1).alias("x_to"))
-    several = known.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k")
-    deeper = known.join(several, "x_k").select("x_k", "x_h", "x_one.x_id", "x_n", "x_one.x_a", (F.col("x_one.x_once") & (F.col("x_c") == 1)).alias("x_once"), "x_one.x_bytes")
-    inner = _content_spans(scratch, scratch.write(deeper, f"items_{span}"), width, span // 2, hot, shard_bytes)
-    return spans.unionByName(part_of_whole(repeated.unionByName(inner), parts.where("x_once")))
+    parts = scratch.write(halve(many, _read, width, span // 2), f"parts_{span}")
+    one = F.min(F.struct("x_id", "x_n", "x_a", "x_bytes")).alias("x_one")
+    known = scratch.write(parts.groupBy("x_k", "x_h").agg((F.min("x_once") & (F.count("*") == 1)).alias("x_once"), one), f"known_{span}")
+    # a key with a single content that occurs once holds nothing repeated
+    alone = known.groupBy("x_k").agg(F.count("*").alias("x_d"), F.min("x_once").alias("x_all")).where("x_d > 1 or not x_all").select("x_k")
+    deeper = scratch.write(known.join(alone, "x_k").select("x_k", "x_h", "x_one.x_id", "x_one.x_n", "x_one.x_a", "x_once", "x_one.x_bytes"), f"items_{span}")
+    inner = _content_spans(scratch, deeper, width, span // 2, hot, shard_bytes)
+    return spans.unionByName(part_of_whole(inner, parts))
 
 
 def repeated_spans(
@@ -122,11 +121,11 @@ def repeated_spans(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 200,
-    hot: int = 8000,
-    shard_bytes: int = 1 << 20,
+    hot: int = 1500,
+    shard_bytes: int = 1 << 19,
     piece_bytes: int = 1 << 19,
 ) -> DataFrame:
-    """``x_rid long, x_spans array<struct<x_from,x_to>>``: byte ranges, not yet merged.
+    """``x_rid binary, x_spans array<struct<x_from,x_to>>``: byte ranges, not yet merged.
 
     ``hot`` bounds the distinct contents of an anchor that one task gathers
     (about ``1.5 * width`` bytes each).
@@ -134,23 +133,17 @@ def repeated_spans(
     textops.bounded_batches(spark)
     scratch = Scratch(spark, "substrings")
     rows = documents.select(row_id(id_col, text_col).alias("x_rid"), F.lit(0).cast("long").alias("x_id"), F.col(text_col).alias("x_text"))
-    runs = scratch.write(run_rows(rows, _bytes, width, GRAM, piece_bytes), "runs")
+    runs = scratch.write(run_rows(rows, _read, width, GRAM, piece_bytes), "runs")
     shared = scratch.write(_shared(scratch, runs), "shared")
     scratch.drop("runs", "anchors")
     # one occurrence stands for all of a content
-    one = F.min(F.struct("x_id", "x_rid", "x_s", "x_n", "x_a")).alias("x_at")
-    contents = scratch.write(shared.groupBy("x_k", "x_h").agg(occurrences().alias("x_c"), one), "contents")
-    whole = every_start(shared.join(contents.where("x_c > 1").select("x_k", "x_h"), ["x_k", "x_h"]))
-    covered = scratch.write(whole.select("x_rid", F.col("x_s").alias("x_from"), (F.col("x_s") + F.col("x_n") + width - 1).alias("x_to")), "covered")
-    scratch.drop("shared")
-    several = scratch.write(contents.groupBy("x_k").agg(F.count("*").alias("x_d")).where("x_d > 1").select("x_k"), "several")
-    unlike = contents.join(several, "x_k").withColumn("x_once", F.col("x_c") == 1)
-    items = scratch.write(cut_contents(rows, unlike, _byte_places, width), "items")
+    one = F.min(F.struct("x_rid", "x_id", "x_s", "x_n", "x_a")).alias("x_at")
+    contents = scratch.write(shared.groupBy("x_k", "x_h").agg((occurrences() == 1).alias("x_once"), one), "contents")
+    items = distinct_items(scratch, scratch.write(cut_contents(rows, contents, _read, width), "items"), contents)
     found = scratch.write(_content_spans(scratch, items, width, 1 << (width - GRAM).bit_length(), hot, shard_bytes), "found")
-    scratch.drop("items")
-    once = contents.where("x_c = 1").select("x_k", "x_h", "x_at.x_rid", "x_at.x_s")
-    parted = found.join(once, ["x_k", "x_h"]).select("x_rid", (F.col("x_s") + F.col("x_from")).alias("x_from"), (F.col("x_s") + F.col("x_to")).alias("x_to"))
-    spans = covered.unionByName(parted).groupBy("x_rid").agg(F.collect_list(F.struct("x_from", "x_to")).alias("x_spans"))
+    scratch.keep("shared", "found")
+    placed = every_start(shared.join(found, ["x_k", "x_h"]))
+    spans = placed.groupBy("x_rid").agg(F.collect_list(F.struct((F.col("x_s") + F.col("x_from")).alias("x_from"), (F.col("x_s") + F.col("x_to")).alias("x_to"))).alias("x_spans"))
     decided = scratch.write(spans, "spans")
     scratch.keep("spans")
     return decided
@@ -230,7 +223,7 @@ def digest(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id",
                 out.append((id_.as_py(), len(data), sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(_kept(data, cuts)).hexdigest()))
             columns = zip(*out, strict=True) if out else [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = rows.join(spans.hint("merge"), "x_rid", "left").select("x_id", "x_text", "x_spans")
     return joined.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,19 +1,21 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in NumPy.
 
-The passes of induced sorting run bucket by bucket: all suffixes of a bucket that
-are known are turned into their predecessors at once, so the work is linear and
-the Python steps are as many as there are byte values (times the longest run of
-one value).
+A pass of induced sorting walks the array from one side.  All entries up to the
+first place that is still to be filled are turned into their predecessors at
+once; their places lie beyond it, so a stretch is as long as the order allows
+and the Python steps are few (about the square root of the length on plain
+text).  Alphabets of any size are sorted, and the reduced string, whose symbols
+are the ranks of the leftmost-smaller substrings, by the same routine.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .textops import RangeHash, mix
+from .textops import ranges
 
-#: Largest alphabet whose reduced string is sorted by the same routine.
-RECURSE_SIGMA = 1024
+#: Places looked at together when the next one that is to be filled is sought.
+LOOK = 1024
 
 
 def _suffix_types(t: np.ndarray) -> np.ndarray:
@@ -24,97 +26,84 @@ def _suffix_types(t: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Buckets:
-    """Places for suffixes by first symbol, filled from one side."""
+def _next_open(waiting: np.ndarray, at: int) -> int:
+    """First place from ``at`` on that waits for its suffix, or the array's end."""
+    while at < len(waiting):
+        seen = waiting[at : at + LOOK]
+        k = int(seen.argmax())
+        if seen[k]:
+            return at + k
+        at += LOOK
+    return len(waiting)
 
-    def __init__(self, sa: np.ndarray, at: np.ndarray, step: int):
-        self.sa, self.at, self.step = sa, at, step
 
-    def put(self, positions: np.ndarray, symbols: np.ndarray) -> None:
-        """Append positions to their symbols' buckets, in the given order."""
-        if not len(positions):
-            return
-        order = np.argsort(symbols, kind="stable")
-        symbols = symbols[order]
-        counts = np.bincount(symbols, minlength=len(self.at))
-        rank = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = self.at[symbols]
-        self.sa[at + rank if self.step > 0 else at - 1 - rank] = positions[order]
-        self.at += self.step * counts
+def _walk(t: np.ndarray, sa: np.ndarray, free: np.ndarray, waiting: np.ndarray, wanted: np.ndarray) -> None:
+    """Fill the ``waiting`` places of ``sa`` from the left.
 
-
-def _induce(t: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
+    ``free`` is each symbol's next free place and ``wanted`` says which suffixes
+    this walk places.  A symbol's suffixes arrive in the order of their successors.
+    """
+    n, low = len(sa), 0
+    wanted = np.append(wanted, [False, False])  # for the predecessors -1 of the first suffix and -2 of an empty place
+    count = np.arange(n)
+    while low < n:
+        high = _next_open(waiting, low)
+        if high == low:
+            raise AssertionError("a place waits for no suffix")
+        before = sa[low:high] - 1
+        before = before[wanted[before]]
+        if len(before):
+            symbols = t[before]
+            order = np.argsort(symbols, kind="stable")
+            symbols = symbols[order]
+            at = free[symbols] + count[: len(symbols)] - np.searchsorted(symbols, symbols)
+            sa[at] = before[order]
+            waiting[at] = False
+            free[symbols] = at + 1  # of equal symbols the last, and largest, place counts
+        low = high
+
+
+def _induce(t: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Order of all suffixes, induced from the leftmost-smaller ones in the order given."""
+    n = len(t)
     counts = np.bincount(t, minlength=sigma)
     tail = np.cumsum(counts)
     head = tail - counts
-    sa = np.full(len(t), -1, np.int64)
+    large = np.bincount(t[~small], minlength=sigma)
+    place = np.arange(n) - np.repeat(head, counts)  # rank within its symbol; L-type suffixes come first
+    is_large = place < np.repeat(large, counts)
+
+    sa = np.full(n, -1, np.int64)
     symbols = t[lms]
     order = np.argsort(symbols, kind="stable")
-    seeds = lms[order]
-    seed_at = np.searchsorted(symbols[order], np.arange(sigma + 1))
-    large = _Buckets(sa, head.copy(), 1)
-    for c in np.flatnonzero(counts):
-        low = head[c]
-        while low < large.at[c]:
-            high = large.at[c]
-            before = sa[low:high] - 1
-            before = before[before >= 0]
-            first = t[before]
-            keep = first >= c
-            large.put(before[keep], first[keep])
-            low = high
-        before = seeds[seed_at[c] : seed_at[c + 1]] - 1
-        before = before[before >= 0]
-        large.put(before, t[before])
-    sa[0] = len(t) - 1
-    ends = tail.copy()
-    ends[0] -= 1
-    small = _Buckets(sa, ends, -1)
-    for c in np.flatnonzero(counts)[::-1]:
-        high = tail[c]
-        while small.at[c] < high:
-            low = small.at[c]
-            before = sa[low:high][::-1] - 1
-            before = before[before >= 0]
-            first = t[before]
-            keep = first <= c
-            small.put(before[keep], first[keep])
-            high = low
-        before = sa[head[c] : large.at[c]][::-1] - 1
-        before = before[before >= 0]
-        first = t[before]
-        keep = first < c
-        small.put(before[keep], first[keep])
-    return sa
-
-
-def _sort_reduced(names: np.ndarray, sigma: int) -> np.ndarray:
-    """Order of the suffixes of the reduced string.
-
-    Small alphabets recurse; with a large one the buckets would be tiny, and the
-    ranks are doubled instead until all differ.
-    """
-    if sigma == len(names):
-        return np.argsort(names)
-    if sigma <= RECURSE_SIGMA:
-        return suffix_array(names.astype(np.uint16), sigma)
-    rank, step, n = names.astype(np.int64), 1, len(names)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        if rank[order[-1]] == n - 1:
-            return order
-        step *= 2
+    own = np.bincount(symbols, minlength=sigma)
+    sa[np.repeat(tail - own, own) + ranges(own)] = lms[order]
+    _walk(t, sa, head.copy(), is_large.copy(), ~small)
+
+    # the S-type suffixes, from the right: the same walk over the mirrored array with mirrored symbols
+    sa[~is_large] = -1
+    sa[0] = n - 1
+    waiting = ~is_large
+    waiting[0] = False
+    mirrored = sa[::-1].copy()
+    _walk(t, mirrored, n - tail, waiting[::-1].copy(), small)
+    return mirrored[::-1]
+
+
+def _names(t: np.ndarray, ordered: np.ndarray, end_of: np.ndarray) -> np.ndarray:
+    """Ranks of leftmost-smaller substrings in their order; equal ones, compared symbol by symbol, share one."""
+    size = end_of[ordered] - ordered
+    differs = size[1:] != size[:-1]
+    alike = np.flatnonzero(~differs)
+    length = size[alike]
+    step = ranges(length)
+    unlike = t[np.repeat(ordered[alike], length) + step] != t[np.repeat(ordered[alike + 1], length) + step]
+    differs[alike] = np.bincount(np.repeat(np.arange(len(alike)), length), unlike, len(alike)) > 0
+    return np.cumsum(np.concatenate([[0], differs]))
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array of ``t``, whose last symbol is 0 and occurs nowhere else."""
+    """Suffix array of ``t``, whose symbols are below ``sigma`` and whose last is 0 and occurs nowhere else."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
@@ -123,33 +112,35 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     is_lms[1:] = small[1:] & ~small[:-1]
     lms = np.flatnonzero(is_lms)
     if len(lms) > 1:
-        sa = _induce(t, sigma, lms)
+        sa = _induce(t, sigma, small, lms)
         ordered = sa[is_lms[sa]]
-        end = np.append(lms[1:] + 1, n)
-        content = RangeHash(mix(t.astype(np.uint64) + np.uint64(1)) | np.uint64(1)).of(lms, end)
+        end_of = np.empty(n, np.int64)
+        end_of[lms] = np.append(lms[1:] + 1, n)
+        ranks = _names(t, ordered, end_of)
         place = np.empty(n, np.int64)
-        place[lms] = np.arange(len(lms))
-        of = place[ordered]
-        size = (end - lms)[of]
-        differs = (content[of][1:] != content[of][:-1]) | (size[1:] != size[:-1])
-        names = np.empty(len(lms), np.int64)
-        names[of] = np.cumsum(np.concatenate([[0], differs]))
-        lms = lms[_sort_reduced(names, int(names.max()) + 1)]
-    return _induce(t, sigma, lms)
+        place[ordered] = ranks
+        names = place[lms].astype(np.uint16 if ranks[-1] < 1 << 16 else np.int64)
+        if ranks[-1] + 1 == len(lms):  # all differ: the ranks are the order
+            lms = ordered
+        else:
+            lms = lms[suffix_array(names, int(ranks[-1]) + 1)]
+    return _induce(t, sigma, small, lms)
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """For each position its common prefix (at most ``cap``) with the suffix before it in
+    """For each position its common prefix (at most ``cap`` symbols) with the suffix before it in
     the array, and that suffix's position.
 
-    A position's value is at least its left neighbour's less one; blocks of
-    positions advance side by side and carry their values along.
+    ``t`` holds bytes or 32-bit symbols.  A position's value is at least its left
+    neighbour's less one; blocks of positions advance side by side and carry their
+    values along.
     """
-    n = len(t)
+    n, wide = len(t), t.itemsize
+    each = 8 // wide  # symbols compared at once
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([t.astype(np.uint8), np.zeros(cap + 16, np.uint8)])
-    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    padded = np.concatenate([t, np.zeros(cap + 16, t.dtype)])
+    words = np.ndarray(len(padded) - each + 1, "<u8", padded, strides=(wide,))
     out = np.zeros(n, np.int32)
     value = np.zeros(-(-n // block), np.int64)
     for k in range(block):
@@ -160,14 +151,37 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int, block: int
         value[other < 0] = 0
         while len(live):
             x = words[at[live] + value[live]] ^ words[other[live] + value[live]]
-            same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3
+            same = (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3) // wide
             value[live] += same
-            live = live[(same == 8) & (value[live] < cap)]
+            live = live[(same == each) & (value[live] < cap)]
         value = np.minimum(value, cap)
         out[at] = value
     return out, before
 
 
+def nearest_smaller(values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one to the left with a smaller value (-1: none), and what they have in common.
+
+    ``common[i]`` is what place ``i`` shares with place ``i - 1``; what two places
+    share is the least of the steps between them.  All places jump along their
+    left neighbours' findings until none is too large.
+    """
+    n = len(values)
+    left = np.arange(-1, n - 1)
+    shared = common.astype(np.int64)
+    if n:
+        shared[0] = 0
+    live = np.arange(1, n)
+    live = live[values[left[live]] >= values[live]]
+    while len(live):
+        via = left[live]
+        shared[live] = np.minimum(shared[live], shared[via])
+        left[live] = left[via]
+        live = live[left[live] >= 0]
+        live = live[values[left[live]] >= values[live]]
+    return left, shared
+
+
 def repeated_starts(texts: np.ndarray, width: int) -> np.ndarray:
     """Positions whose next ``width`` symbols occur at another position too.
 

@@ -19,12 +19,12 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets (from 0) of a string column; a null row is empty."""
+    """Bytes and row offsets (from 0) of a string or binary column; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     first, last = int(offsets[0]), int(offsets[-1])

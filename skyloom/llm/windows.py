@@ -4,15 +4,19 @@ To find windows that occur more than once, each window is assigned the smallest
 hash among its grams (its anchor).  Equal windows have equal anchors at the same
 place, so only windows whose anchor hash occurs elsewhere can be repeated.
 Consecutive windows that share an anchor occurrence form one *run*: one row for
-many windows, identified by the anchor's hash and a hash of the run's content.
+many windows, identified by the anchor's hash and a 128-bit XXH3 of the bytes of
+its content.  The anchors' polynomial hashes only bring equal windows together;
+they never decide that two contents are equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +24,34 @@ from . import textops
 from .scratch import Scratch
 from .textops import RangeHash, mix, sliding_min
 
-#: Splits a piece's bytes into units: their 64-bit symbols and each row's first unit.
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-#: Gives a piece's units their first byte, the byte after their last, and each row's first unit.
-Places = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+@dataclass(frozen=True)
+class Units:
+    """Units (bytes or words) of several texts laid end to end.
+
+    ``first`` has the index of each text's first unit and, last, their number;
+    ``bounds`` gives the bytes of ``data`` from the start of unit ``begin`` to the
+    end of unit ``end - 1``.
+    """
+
+    data: bytes | np.ndarray
+    symbols: np.ndarray
+    first: np.ndarray
+    bounds: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+#: Reads the bytes of texts laid end to end, with their offsets, as units.
+Reader = Callable[[np.ndarray, np.ndarray], Units]
 #: A content: its anchor and content hash, its text's id, windows, the anchor's distance,
-#: whether it occurs once, and its bytes.  A part also names the item it was split from.
-ITEMS = "x_k long, x_h long, x_id long, x_n int, x_a int, x_once boolean, x_bytes binary"
+#: whether it occurs once, and its bytes.
+ITEMS = "x_k long, x_h binary, x_id long, x_n int, x_a int, x_once boolean, x_bytes binary"
 ITEM_NAMES = ["x_k", "x_h", "x_id", "x_n", "x_a", "x_once", "x_bytes"]
-PARTS = ITEMS + ", x_whole_k long, x_whole_h long, x_off int"
+#: A part of an item also names the item it was split from and its first window there.
+PARTS = ITEMS + ", x_whole_k long, x_whole_h binary, x_off int"
 PART_NAMES = [*ITEM_NAMES, "x_whole_k", "x_whole_h", "x_off"]
 #: A run's row: its text's row and id, first start, windows, anchor and content hash,
 #: the anchor's distance, and the other starts of the same content in the same text.
-RUNS = "x_rid long, x_id long, x_s int, x_n int, x_k long, x_h long, x_a int, x_more array<int>"
+RUNS = "x_rid binary, x_id long, x_s int, x_n int, x_k long, x_h binary, x_a int, x_more array<int>"
 RUN_NAMES = ["x_rid", "x_id", "x_s", "x_n", "x_k", "x_h", "x_a", "x_more"]
 
 #: Bits of the anchor value that hold the gram's place, to find the leftmost of equal grams.
@@ -44,17 +63,15 @@ def anchor_runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int
 
     ``symbols`` are 64-bit values of the rows' units laid end to end, fewer than
     ``2**PLACE_BITS``.  Returns the row, first start (in the row), number of
-    windows, anchor hash, content hash, and the anchor's distance from the first
-    start, one entry for each run.
+    windows, anchor hash and the anchor's distance from the first start, one entry
+    for each run.
     """
     n = len(symbols)
     if n >= 1 << PLACE_BITS:
         raise ValueError("a piece is too long; lower its byte limit")
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     if n < window:
-        return empty
-    hashed = RangeHash(symbols)
-    grams = mix(hashed.windows(gram))
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    grams = mix(RangeHash(symbols).windows(gram))
     places = np.uint64((1 << PLACE_BITS) - 1)
     ranked = (grams & ~places) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_min(ranked, window - gram + 1)
@@ -71,29 +88,44 @@ def anchor_runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int
     row = np.searchsorted(offsets, start, "right") - 1
     end = np.minimum(np.append(start[1:], n), offsets[row + 1] - window + 1)
     place = (least[start] & places).astype(np.int64)
-    return row, start - offsets[row], end - start, grams[place], mix(hashed.of(start, end + window - 1)), place - start
+    return row, start - offsets[row], end - start, grams[place], place - start
 
 
 def row_id(id_col: str, text_col: str) -> Column:
-    """Hash of id and text: tells rows apart even if ids repeat or are null."""
-    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    """128 bits of the SHA-256 of id and text: tells rows apart even if ids repeat or are null."""
+    marks = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.when(F.col(id_col).isNull(), "n ").otherwise("i "), F.when(F.col(text_col).isNull(), "n").otherwise("t"))
+    return F.substring(F.unhex(F.sha2(F.concat(marks, F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)), 1, 16)
+
+
+def content_hashes(units: Units, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit XXH3 (as ``V16``) of the bytes of each range of units."""
+    low, high = units.bounds(begin, end)
+    data, digest = memoryview(units.data), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]), "V16")
+
+
+def _binaries(hashes: np.ndarray) -> pa.Array:
+    """A ``V16`` array as a binary column."""
+    at = np.arange(len(hashes) + 1, dtype=np.int32) * 16
+    return pa.BinaryArray.from_buffers(pa.binary(), len(hashes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(hashes).tobytes())])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _batch(rid: np.ndarray, id_: np.ndarray, s: np.ndarray, n: np.ndarray, k: np.ndarray, h: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+def _batch(piece: pa.RecordBatch, row: np.ndarray, s: np.ndarray, n: np.ndarray, k: np.ndarray, a: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     """Run rows; a content that a text repeats (as lines of junk do) is one row."""
-    order = np.lexsort((s, h, k, rid))
-    key = np.stack([x[order].view(np.int64) for x in (rid, k, h)])
+    parts = h.view("<u8").reshape(-1, 2)
+    order = np.lexsort((s, parts[:, 1], parts[:, 0], row))
     new = np.ones(len(order), bool)
-    new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (parts[order][1:] != parts[order][:-1]).any(axis=1)
     first = order[new]
     at = np.cumsum(~new)[np.append(np.flatnonzero(new)[1:] - 1, len(order) - 1)] if len(order) else np.zeros(0, int)
     more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at]).astype(np.int32)), pa.array(s[order[~new]].astype(np.int32)))
-    ints = [pa.array(x[first].astype(np.int32)) for x in (s, n, a)]
-    return pa.RecordBatch.from_arrays([pa.array(rid[first]), pa.array(id_[first]), ints[0], ints[1], _signed(k[first]), _signed(h[first]), ints[2], more], RUN_NAMES)
+    owner = pa.array(row[first])
+    s, n, a = (pa.array(x[first].astype(np.int32)) for x in (s, n, a))
+    return pa.RecordBatch.from_arrays([piece.column("x_rid").take(owner), piece.column("x_id").take(owner), s, n, _signed(k[first]), _binaries(h[first]), a, more], RUN_NAMES)
 
 
 def every_start(runs: DataFrame) -> DataFrame:
@@ -106,7 +138,7 @@ def occurrences() -> Column:
     return F.sum(1 + F.size("x_more"))
 
 
-def run_rows(rows: DataFrame, units: Units, window: int, gram: int, piece_bytes: int) -> DataFrame:
+def run_rows(rows: DataFrame, read: Reader, window: int, gram: int, piece_bytes: int) -> DataFrame:
     """Runs of all ``rows(x_rid, x_id, x_text)``: first start, windows, anchor and content hash.
 
     A text of more than twice ``piece_bytes`` units is read in segments that
@@ -115,42 +147,58 @@ def run_rows(rows: DataFrame, units: Units, window: int, gram: int, piece_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textops.pieces(batches, "x_text", piece_bytes):
-            symbols, first = units(*textops.utf8(piece.column("x_text")))
-            rid, id_ = (piece.column(x).to_numpy() for x in ("x_rid", "x_id"))
-            n = len(symbols)
+            units = read(*textops.utf8(piece.column("x_text")))
+            n = len(units.symbols)
             if n <= 2 * piece_bytes:
-                row, *columns = anchor_runs(symbols, first, window, gram)
-                yield _batch(rid[row], id_[row], *columns)
+                row, s, windows, k, a = anchor_runs(units.symbols, units.first, window, gram)
+                begin = units.first[row] + s
+                yield _batch(piece, row, s, windows, k, a, content_hashes(units, begin, begin + windows + window - 1))
                 continue
             for low in range(0, n - window + 1, piece_bytes):
-                part = symbols[low : low + piece_bytes + window - 1]
-                row, s, *columns = anchor_runs(part, np.array([0, len(part)]), window, gram)
-                yield _batch(rid[row], id_[row], s + low, *columns)
+                part = units.symbols[low : low + piece_bytes + window - 1]
+                row, s, windows, k, a = anchor_runs(part, np.array([0, len(part)]), window, gram)
+                yield _batch(piece, row, s + low, windows, k, a, content_hashes(units, s + low, s + low + windows + window - 1))
 
     return rows.select("x_rid", "x_id", "x_text").mapInArrow(run, RUNS)
 
 
-def cut_contents(rows: DataFrame, contents: DataFrame, places: Places, window: int) -> DataFrame:
+def cut_contents(rows: DataFrame, contents: DataFrame, read: Reader, window: int) -> DataFrame:
     """``ITEMS`` of the contents ``x_k, x_h, x_at{x_id, x_rid, x_s, x_n, x_a}, x_once``, cut out of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textops.pieces(batches, "x_text", 1 << 19):
-            data, offsets = textops.utf8(piece.column("x_text"))
-            starts, ends, first = places(data, offsets)
+            units = read(*textops.utf8(piece.column("x_text")))
             lists = piece.column("x_list")
             listed, owner = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            unit = first[owner] + listed.field("x_s").to_numpy()
-            begin, end = starts[unit], ends[unit + listed.field("x_n").to_numpy() + window - 2]
-            id_ = pa.array(piece.column("x_id").to_numpy()[owner])
-            columns = [listed.field("x_k"), listed.field("x_h"), id_, listed.field("x_n"), listed.field("x_a"), listed.field("x_once"), cut_out(data, begin, end - begin)]
-            yield pa.RecordBatch.from_arrays(columns, ITEM_NAMES)
+            begin = units.first[owner] + listed.field("x_s").to_numpy()
+            low, high = units.bounds(begin, begin + listed.field("x_n").to_numpy() + window - 1)
+            id_ = piece.column("x_id").take(pa.array(owner))
+            columns = [listed.field("x_k"), listed.field("x_h"), id_, listed.field("x_n"), listed.field("x_a"), listed.field("x_once")]
+            for at, stop in _stretches(high - low, 1 << 21):
+                own = slice(at, stop)
+                yield pa.RecordBatch.from_arrays([*(c[own] for c in columns), cut_out(units.data, low[own], high[own])], ITEM_NAMES)
 
     wanted = contents.select(F.col("x_at.x_rid").alias("x_rid"), F.struct("x_k", "x_h", "x_at.x_s", "x_at.x_n", "x_at.x_a", "x_once").alias("x_entry"))
     lists = wanted.groupBy("x_rid").agg(F.collect_list("x_entry").alias("x_list"))
     return rows.join(lists, "x_rid").select("x_id", "x_text", "x_list").mapInArrow(run, ITEMS)
 
 
-def halve(items: DataFrame, units: Units, places: Places, window: int, span: int) -> DataFrame:
+def distinct_items(scratch: Scratch, items: DataFrame, contents: DataFrame) -> DataFrame:
+    """One item for each content: rows that repeat id and text cut the same ones out again."""
+    return items if items.count() <= contents.count() else scratch.write(items.dropDuplicates(["x_k", "x_h"]), "distinct_items")
+
+
+def _stretches(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes sum up to about ``limit``."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, stop
+        at = stop
+
+
+def halve(items: DataFrame, read: Reader, window: int, span: int) -> DataFrame:
     """Items split at multiples of ``span`` of the distance from their anchor: ``PARTS``.
 
     The new key hashes the units that all windows of a part's block share, so
@@ -158,14 +206,11 @@ def halve(items: DataFrame, units: Units, places: Places, window: int, span: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, offsets = bodies(batch.column("x_bytes"))
-            symbols, first = units(data, offsets)
-            starts, ends, _ = places(data, offsets)
-            ranged = RangeHash(symbols)
-            n, a = (batch.column(x).to_numpy().astype(np.int64) for x in ("x_n", "x_a"))
+        for piece in textops.pieces(batches, "x_bytes", 1 << 19):
+            units = read(*textops.utf8(piece.column("x_bytes")))
+            first = units.first
+            ranged = RangeHash(units.symbols)
+            n, a = (piece.column(x).to_numpy().astype(np.int64) for x in ("x_n", "x_a"))
             low = (a - n + 1) // span  # block of the last window, the nearest to the anchor
             blocks = a // span - low + 1
             of = np.repeat(np.arange(len(n)), blocks)
@@ -175,21 +220,22 @@ def halve(items: DataFrame, units: Units, places: Places, window: int, span: int
             last = np.minimum(first[of] + n[of] - 1, anchor - block * span)
             core = ranged.of(anchor - block * span, anchor - (block + 1) * span + 1 + window)
             key = mix(core + mix(block.astype(np.uint64) * np.uint64(2 * span + 1)))
-            content = mix(ranged.of(begin, last + window))
-            body = cut_out(data, starts[begin], ends[last + window - 1] - starts[begin])
             chosen = pa.array(of)
-            whole = [batch.column(x).take(chosen) for x in ("x_k", "x_h")]
+            id_, once, *whole = (piece.column(x).take(chosen) for x in ("x_id", "x_once", "x_k", "x_h"))
             ints = [pa.array(x.astype(np.int32)) for x in (begin - first[of], last - begin + 1, anchor - begin)]
-            columns = [_signed(key), _signed(content), batch.column("x_id").take(chosen), ints[1], ints[2], batch.column("x_once").take(chosen), body, *whole, ints[0]]
+            body = cut_out(units.data, *units.bounds(begin, last + window))
+            columns = [_signed(key), _binaries(content_hashes(units, begin, last + window)), id_, ints[1], ints[2], once, body, *whole, ints[0]]
             yield pa.RecordBatch.from_arrays(columns, PART_NAMES)
 
     return items.select(*ITEM_NAMES).mapInArrow(run, PARTS)
 
 
-def part_of_whole(spans: DataFrame, parts: DataFrame) -> DataFrame:
-    """Spans of parts as spans of the items they were split from."""
-    own = parts.select("x_k", "x_h", "x_whole_k", "x_whole_h", "x_off").distinct()
-    return spans.join(own, ["x_k", "x_h"]).select(F.col("x_whole_k").alias("x_k"), F.col("x_whole_h").alias("x_h"), (F.col("x_from") + F.col("x_off")).alias("x_from"), (F.col("x_to") + F.col("x_off")).alias("x_to"))
+def part_of_whole(spans: DataFrame, parts: DataFrame, *also: str) -> DataFrame:
+    """Spans of parts as spans of the items they were split from; both agree in the columns ``also``, which parts carry as ``x_whole_*`` too."""
+    names = ["x_k", "x_h", *also]
+    own = parts.select(*names, *[f"x_whole_{x[2:]}" for x in names], "x_off").distinct()
+    wholes = [F.col(f"x_whole_{x[2:]}").alias(x) for x in names]
+    return spans.join(own, names).select(*wholes, (F.col("x_from") + F.col("x_off")).alias("x_from"), (F.col("x_to") + F.col("x_off")).alias("x_to"))
 
 
 def split_hot(scratch: Scratch, items: DataFrame, hot: int, span: int, name: str) -> tuple[DataFrame, DataFrame | None]:
@@ -237,9 +283,10 @@ def bodies(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(whole.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def cut_out(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+def cut_out(data: bytes | np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     """Ranges of ``data`` as a binary column."""
-    at = np.zeros(len(length) + 1, np.int32)
-    np.cumsum(length, out=at[1:])
-    body = data[np.repeat(begin, length) + textops.ranges(length)] if len(length) else np.zeros(0, np.uint8)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body))])
+    at = np.zeros(len(begin) + 1, np.int32)
+    np.cumsum(end - begin, out=at[1:])
+    seen = memoryview(data)
+    body = b"".join([seen[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(body)])

@@ -107,6 +107,8 @@ def test_suffix_arrays():
         expected = sorted(range(len(t)), key=lambda i: raw[i:])
         sa = suffix.suffix_array(t, 256)
         assert sa.tolist() == expected
+        assert suffix.suffix_array(t.astype(np.int64) * 70_000, 70_000 * 6).tolist() == expected
+        assert (suffix.permuted_common_prefixes(t.astype(np.uint32), sa, 20)[0] == suffix.permuted_common_prefixes(t, sa, 20)[0]).all()
         common, _ = suffix.permuted_common_prefixes(t, sa, 20, block=4)
         for a, b in zip(expected, expected[1:], strict=False):
             n = 0
@@ -130,6 +132,35 @@ def test_earlier_windows_equal_brute_force(spark, corpus, hot):
         assert got[i] == (i, len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_words_whose_polynomial_hashes_collide_are_told_apart(spark):
+    """Thue-Morse words of 1,024 bytes have one polynomial hash modulo 2**64, whatever its base."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([word] * 60), " ".join([other] * 60), " ".join([word] * 55)]
+    got = {r.doc_id: r.n_removed for r in factors.digest(spark, documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 55}
+
+
+def test_factors_are_the_longest():
+    """Every position's factor is the longest that starts in a block of smaller age."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        sizes = rng.integers(1, 12, 8)
+        symbols = np.concatenate([np.append(rng.integers(2, 4, n), 1) for n in sizes])
+        stops = np.cumsum(sizes + 1) - 1
+        end = np.repeat(stops, sizes + 1)
+        age = np.repeat(rng.integers(0, 5, len(sizes)), sizes + 1)
+        got = factors.longest_factors(symbols, end, age)
+        for i in range(len(symbols)):
+            best = 0
+            for j in np.flatnonzero(age < age[i]):
+                n = 0
+                while i + n < end[i] and j + n < end[j] and symbols[i + n] == symbols[j + n]:
+                    n += 1
+                best = max(best, n)
+            assert got[i] == best
+
+
 def brute_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall("[^\x20\x09-\x0d]+", low)
