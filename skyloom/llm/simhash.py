@@ -1,12 +1,18 @@
 """SimHash near-duplicates through an inverted index over byte positions.
 
-A fingerprint has eight positional bytes.  Two fingerprints that differ in at
-most two bits share at least six of them, so the index is keyed by six positions
-and their values (28 postings a distinct fingerprint).  A posting list then holds
-fingerprints that vary in two bytes only: at most 65,536, whatever the corpus.
-Within a list the shared positional bytes of a pair are tallied, pairs below the
-guaranteed six are discarded and the rest verified bit by bit; only a spanning
-set of the verified links leaves the task.
+A fingerprint has eight positional bytes.  Two fingerprints that differ in at most
+two bits share at least six of them and, of any four blocks of positions, at least
+two.  The index is therefore keyed by two of the four pairs of positions and their
+values: six postings a distinct fingerprint.  Within a list the shared positional
+bytes of every pair are tallied, pairs below the guaranteed six are discarded and
+the rest verified bit by bit; only a spanning set of the verified links leaves the
+task.
+
+Lists are counted before they are gathered.  One of more than ``long_list``
+fingerprints is keyed anew by two of four blocks of the positions that are still
+free, bytes first and half bytes next, until it is short: with eight free bits it
+has 256 fingerprints at most.  Every list is thus tallied in the same way, and
+none is cut.
 
 Documents with equal fingerprints form one class before the index is built, so
 thousands of copies cost one posting set.
@@ -24,32 +30,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import nearcopies
 from .components import components
-from .scratch import Scratch, without
+from .scratch import Scratch
+from .shingles import shingle_hashes
 from .textops import bounded_batches
 
 POSITIONS = 8
 
 
-def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
-    """XXH64 of all word shingles, repeats included; a text of fewer words is one shingle."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, "<u8")
-    joined = b" ".join(words)
-    width = min(shingle, len(words))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
-
-
 def fingerprint(text: str, shingle: int, seed: int) -> int:
     """Majority bits of the XXH64 of all word shingles, repeats included."""
     return _majority(shingle_hashes(text, shingle, seed))
@@ -74,9 +66,9 @@ def fingerprints(documents: DataFrame, id_col: str, text_col: str, shingle: int,
     return documents.select(F.col(id_col).cast("long").alias("x_id"), F.col(text_col).alias("x_text")).mapInArrow(run, "x_id long, x_fp long")
 
 
-def _spanning(values: np.ndarray, max_bits: int, shared: int) -> list[tuple[int, int]]:
+def _spanning(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links of one posting list that connect what its verified pairs connect."""
-    n = len(values)
+    n, shared = len(values), POSITIONS - max_bits
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -99,52 +91,59 @@ def _spanning(values: np.ndarray, max_bits: int, shared: int) -> list[tuple[int,
     return links
 
 
-def _probed(values: np.ndarray, max_bits: int, free: int) -> list[tuple[int, int]]:
-    """Same for a long list: looks every value's neighbours up instead of tallying all pairs."""
-    bits = [b for b in range(64) if free >> b & 1]
-    values = np.sort(values)
-    n = len(values)
-    label = np.arange(n)
-    flips = [sum(1 << b for b in some) for k in range(1, max_bits + 1) for some in combinations(bits, k)]
-    pairs = []
-    for flip in flips:
-        other = values ^ np.uint64(flip)
-        at = np.minimum(np.searchsorted(values, other), n - 1)
-        hit = np.flatnonzero((values[at] == other) & (at > np.arange(n)))
-        pairs.append(np.stack([hit, at[hit]], axis=1))
-    pairs = np.concatenate(pairs)
-    while True:  # labels fall to the smallest index of their component
-        before = label.copy()
-        np.minimum.at(label, pairs[:, 1], label[pairs[:, 0]])
-        np.minimum.at(label, pairs[:, 0], label[pairs[:, 1]])
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = np.flatnonzero(label != np.arange(n))
-    return [(int(values[label[i]]), int(values[i])) for i in moved]
-
-
-def links_of_lists(lists: DataFrame, max_bits: int, long_list: int = 256) -> DataFrame:
-    """Verified spanning links ``u, v`` of posting lists ``x_mask long, x_fps array<long>``."""
-    full = (1 << 64) - 1
+def finer(mask: int, max_bits: int) -> list[int]:
+    """Masks that keep ``mask`` and two of ``max_bits + 2`` blocks of the other bits."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    blocks = [sum(1 << int(b) for b in part) for part in np.array_split(free, max_bits + 2)]
+    return [mask | x | y for x, y in combinations(blocks, 2)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _tallied(lists: DataFrame, max_bits: int) -> DataFrame:
+    """Verified spanning links ``u, v`` of posting lists ``x_fps array<long>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            for mask, row in zip(batch.column(0), batch.column(1), strict=True):
+            for row in batch.column(0):
                 values = np.unique(row.values.to_numpy().view(np.uint64))
-                if len(values) > long_list:
-                    found = _probed(values, max_bits, full & ~(mask.as_py() & full))
-                    us += [a for a, _ in found]
-                    vs += [b for _, b in found]
-                else:
-                    found = _spanning(values, max_bits, POSITIONS - max_bits)
-                    us += [int(values[i]) for i, _ in found]
-                    vs += [int(values[j]) for _, j in found]
+                for i, j in _spanning(values, max_bits):
+                    us.append(values[i])
+                    vs.append(values[j])
             ends = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)]
             yield pa.RecordBatch.from_arrays(ends, ["u", "v"])
 
-    return lists.mapInArrow(run, "u long, v long")
+    return lists.select("x_fps").mapInArrow(run, "u long, v long")
+
+
+def index_links(scratch: Scratch, classes: DataFrame, max_bits: int, long_list: int = 512) -> DataFrame:
+    """Verified spanning links ``u, v`` between the fingerprints ``x_fp`` of ``classes``."""
+    spark = scratch.spark
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    masks, links, level = {0: finer(0, max_bits)}, None, 0
+    # a few files may hold all classes: dealt out before they are multiplied
+    entries = classes.select("x_fp", F.lit(0).cast("long").alias("x_mask")).repartition(tasks)
+    while True:
+        steps = spark.createDataFrame([(_signed(m), [_signed(f) for f in fine]) for m, fine in masks.items()], "x_mask long, x_finer array<long>")
+        keyed = entries.join(F.broadcast(steps), "x_mask").select("x_fp", F.explode("x_finer").alias("x_mask"))  # at most 6**3 rows of masks
+        keyed = keyed.withColumn("x_key", F.col("x_fp").bitwiseAND(F.col("x_mask")))
+        if level:
+            keyed = keyed.distinct()  # a fingerprint may come from several long lists
+        crowded = keyed.groupBy("x_mask", "x_key").agg(F.count("*").alias("x_c")).where(F.col("x_c") > long_list).select("x_mask", "x_key")
+        crowded = scratch.write(crowded, f"crowded{level}")
+        n_crowded = crowded.count()
+        side = F.broadcast(crowded) if n_crowded <= 1_000_000 else crowded
+        short = keyed.join(side, ["x_mask", "x_key"], "left_anti") if n_crowded else keyed
+        found = _tallied(short.groupBy("x_mask", "x_key").agg(F.collect_list("x_fp").alias("x_fps")).where(F.size("x_fps") > 1), max_bits)
+        links = found if links is None else links.unionByName(found)
+        if not n_crowded:
+            return links
+        masks = {f: finer(f, max_bits) for fine in masks.values() for f in fine}
+        entries = scratch.write(keyed.join(side, ["x_mask", "x_key"], "left_semi").select("x_fp", "x_mask"), f"long{level}").repartition(tasks)
+        level += 1
 
 
 def near_duplicates(
@@ -156,6 +155,7 @@ def near_duplicates(
     shingle: int = 3,
     seed: int = 42,
     max_bits: int = 2,
+    long_list: int = 512,
 ) -> DataFrame:
     """``id_col, fingerprint string, component_id long`` for each row.
 
@@ -166,11 +166,7 @@ def near_duplicates(
     scratch = Scratch(spark, "simhash")
     prints = scratch.write(fingerprints(documents, id_col, text_col, shingle, seed), "prints")
     classes = scratch.write(prints.groupBy("x_fp").agg(F.min("x_id").alias("x_rep")), "classes")
-    masks = [sum(255 << 8 * p for p in some) for some in combinations(range(POSITIONS), POSITIONS - max_bits)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    postings = F.explode(F.array(*[F.struct(F.lit(m).alias("x_mask"), F.col("x_fp").bitwiseAND(F.lit(m)).alias("x_key")) for m in signed]))
-    index = classes.select("x_fp", postings.alias("x_p")).groupBy("x_p.x_mask", "x_p.x_key").agg(F.collect_list("x_fp").alias("x_fps"))
-    links = links_of_lists(index.where(F.size("x_fps") > 1).select("x_mask", "x_fps"), max_bits)
+    links = index_links(scratch, classes, max_bits, long_list)
     roots = components(scratch, links)
     rooted = classes.join(roots, F.col("x_fp") == F.col("node"), "left").select("x_fp", "x_rep", F.coalesce("root", "x_fp").alias("x_root"))
     named = rooted.groupBy("x_root").agg(F.min("x_rep").alias("component_id"))
@@ -178,17 +174,15 @@ def near_duplicates(
     return prints.join(of_class, "x_fp").select(F.col("x_id").alias(id_col), F.lpad(F.lower(F.hex("x_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``documents`` with one document of each component, the one with the smallest id.
+def drop_near_duplicates(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """``documents`` with one row of each group of texts whose shingle sets are alike by ``similarity`` or more.
 
-    Rows with a null id stay; of rows that repeat id and text one stays.
+    Of a group the row with the smallest id stays.  At a similarity of 0.8
+    fingerprints differ in some ten of 64 bits, so that no positional byte need be
+    shared and the index guarantees nothing; the candidates come from
+    :mod:`nearcopies` instead, and each is verified on the shingles themselves.
     """
-    scratch = Scratch(spark, "simhash_kept")
-    near = scratch.write(near_duplicates(spark, documents, id_col=id_col, text_col=text_col, **options), "near")
-    dropped = scratch.write(near.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
-    unique = near.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
-    kept = without(documents, dropped, id_col)
-    return kept if unique else kept.dropDuplicates([id_col, text_col])
+    return nearcopies.drop_near_copies(spark, documents, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity, seed=seed)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

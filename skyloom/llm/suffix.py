@@ -54,9 +54,9 @@ def _walk(t: np.ndarray, sa: np.ndarray, free: np.ndarray, waiting: np.ndarray,
         before = before[wanted[before]]
         if len(before):
             symbols = t[before]
-            order = np.argsort(symbols, kind="stable")
+            order = symbols.argsort(kind="stable")
             symbols = symbols[order]
-            at = free[symbols] + count[: len(symbols)] - np.searchsorted(symbols, symbols)
+            at = free[symbols] + count[: len(symbols)] - symbols.searchsorted(symbols)
             sa[at] = before[order]
             waiting[at] = False
             free[symbols] = at + 1  # of equal symbols the last, and largest, place counts

@@ -185,31 +185,37 @@ def test_simhash_equals_brute_force(spark, corpus):
     assert got == {i: (f"{p:016x}", root[i]) for i, p in enumerate(prints)}
 
 
-def test_long_posting_lists_link_alike():
+def groups(values, pairs):
+    root = {int(v): int(v) for v in values}
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        if x != y:
+            for k, v in root.items():
+                if v == max(x, y):
+                    root[k] = min(x, y)
+    return root
+
+
+def test_long_posting_lists_link_alike(spark):
+    """Lists that are keyed anew, down to half bytes, give the links of all pairs."""
     rng = np.random.default_rng(3)
-    values = np.unique(rng.integers(0, 1 << 16, 700, dtype=np.uint64))
-    short = simhash._spanning(values, 2, 6)
-    long = simhash._probed(values, 2, 0xFFFF)
-
-    def groups(pairs):
-        root = {int(v): int(v) for v in values}
-        for a, b in pairs:
-            x, y = root[a], root[b]
-            if x != y:
-                for k, v in root.items():
-                    if v == max(x, y):
-                        root[k] = min(x, y)
-        return root
-
-    assert groups([(int(values[a]), int(values[b])) for a, b in short]) == groups(long)
-
-
-def test_one_of_each_group_stays(spark, corpus):
-    rows = documents(spark, corpus)
-    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, rows).collect()}
-    kept = simhash.drop_near_duplicates(spark, rows)
-    assert kept.schema == rows.schema
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(near.values()))
+    values = np.unique(np.concatenate([rng.integers(0, 1 << 16, 500, dtype=np.uint64), rng.integers(0, 1 << 64, 300, dtype=np.uint64), np.uint64(7) ^ np.uint64(1) << np.arange(64, dtype=np.uint64)]))
+    classes = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "x_fp long")
+    expected = groups(values, [(int(a), int(b)) for k, a in enumerate(values) for b in values[k + 1 :] if int(a ^ b).bit_count() <= 2])
+    for long_list in (512, 4):
+        links = simhash.index_links(simhash.Scratch(spark, "test"), classes, 2, long_list).collect()
+        assert groups(values, [(r.u % (1 << 64), r.v % (1 << 64)) for r in links]) == expected
+
+
+def test_the_tally_rejects_pairs_of_a_list():
+    """Entries of a list share four bytes; pairs that share fewer than six go before any bit is compared."""
+    masks = simhash.finer(0, 2)
+    assert len(masks) == 6 and all(m.bit_count() == 32 for m in masks)
+    base = 0x1122334455667788
+    values = np.array([base, base ^ 0x0101, base ^ 0x010101, base ^ 0x03 << 56], np.uint64)
+    tally = (values.view(np.uint8).reshape(4, 8)[1:] == values[:1].view(np.uint8)).sum(axis=1)
+    assert tally.tolist() == [6, 5, 7]
+    assert simhash._spanning(values, 2) == [(0, 1), (0, 3), (1, 2)]
 
 
 def test_contamination_rules(spark):
