@@ -10,8 +10,12 @@ either document reaches.  Subsets of
 several densities serve short and long documents alike.
 
 Only DataFrame functions run here.  The lexicon's size is bounded by the band
-(at most mean distinct terms / ``low``), so it travels as a bitmap probed twice,
-and as a table of the terms' hashes that decides about what passes the bitmap.
+(at most mean distinct terms / ``low``), so it travels as a table of the terms'
+64-bit hashes, in which each hash has two places: membership is exact.
+
+The next document in descending order of the ids is found within groups of rows,
+cut at quantiles of (id, hash of the text), so that neither outlying nor repeated
+ids crowd one group.  A text is fingerprinted once, after it has reached its group.
 
 Edge cases: a null text is empty; a text without lexicon terms is fingerprinted
 over all its terms, one without terms by its characters, and an empty one by
@@ -22,46 +26,43 @@ itself; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import normalised_words
-from .scratch import Scratch
 
 #: At each density, a random part of the lexicon is split into subsets of one term in
 #: 2**density; so many subsets at most.  Subset 0 is the whole lexicon.
 DENSITIES = (3, 5, 7, 9, 11)
 SUBSETS_EACH = 32
-#: Rows of a group whose successors are found together; groups there can be at most.
-GROUP_ROWS, GROUPS = 512, 1 << 16
+#: Rows of a group whose successors are found together, groups there can be at most, and rows seen a group to cut them.
+GROUP_ROWS, GROUPS, SEEN = 512, 1 << 14, 16
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Bitmap of the band's term hashes, as a literal array of longs with 2**log2 bits, and a cuckoo table of the hashes."""
+    """Cuckoo table of the band's term hashes, as a literal array of longs."""
 
-    bits: Column
-    log2: int
     size: int
     table: Column
-    table_log2: int
+    log2: int
 
     def holds(self, term: Column) -> Column:
-        """Whether a term's hash is in the table; the bitmap turns most others away first."""
-        mask = (1 << self.log2) - 1
-
-        def probe(slot: Column) -> Column:
-            return F.getbit(F.get(self.bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
-
-        slots = (1 << self.table_log2) - 1
+        """Whether a term's hash is in the table."""
+        slots = (1 << self.log2) - 1
 
         def stored(slot: Column) -> Column:
             return F.get(self.table, slot.bitwiseAND(slots).cast("int")) == term
 
-        high = F.shiftrightunsigned(term, 32)
-        return probe(term.bitwiseAND(mask)) & probe(high.bitwiseAND(mask)) & (stored(term) | stored(high))
+        return stored(term) | stored(F.shiftrightunsigned(term, 32))
+
+
+def _longs(values: list[int]) -> Column:
+    """A literal array, folded once when the plan is made."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
 def term_hashes(text: Column) -> Column:
@@ -95,16 +96,8 @@ def build_lexicon(texts: DataFrame, text_col: str, low: float, high: float) -> L
     terms = texts.select(F.explode(term_hashes(F.col(text_col))).alias("x_t")).groupBy("x_t").agg(F.count("*").alias("x_df"))
     band = terms.where((F.col("x_df") >= max(2, low * total)) & (F.col("x_df") <= max(2, high * total))).select("x_t")
     hashes = [r.x_t for r in band.collect()]  # bounded by mean distinct terms / low
-    log2 = max(12, min(22, (32 * len(hashes)).bit_length()))
-    longs = [0] * (1 << (log2 - 6))
-    mask = (1 << log2) - 1
-    for h in hashes:
-        for slot in (h & mask, (h >> 32) & mask):
-            longs[slot >> 6] |= 1 << (slot & 63)
-    signed = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)
-    table, table_log2 = _cuckoo(hashes)
-    stored = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
-    return Lexicon(F.split(F.lit(signed), ",").cast("array<bigint>"), log2, len(hashes), stored, table_log2)
+    table, log2 = _cuckoo(hashes)
+    return Lexicon(len(hashes), _longs(table), log2)
 
 
 def _members(basis: Column, level: int, density: int) -> Column:
@@ -155,33 +148,54 @@ def _hex(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def with_next(rows: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
-    """Each row with ``fields`` of the next one in descending order of the id, as ``next_*``.
+def _upper_bound(ids: list[int], ties: list[int], key: Column, tie: Column) -> Column:
+    """How many of the sorted pairs are not above ``(key, tie)``: a binary search in literal arrays."""
+    if not ids:
+        return F.lit(0)
+    all_ids, all_ties = _longs(ids), _longs(ties)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(ids).bit_length()))])
+
+    def widen(at: Column, step: Column) -> Column:
+        last = at + step - 1
+        low_id, low_tie = F.get(all_ids, last), F.get(all_ties, last)
+        # beyond the end both are null, and the search stays
+        return F.when((low_id < key) | ((low_id == key) & (low_tie <= tie)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), widen)
+
+
+def with_next(rows: DataFrame, id_col: str, text_col: str, derive: Callable[[DataFrame], DataFrame], derived: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``derive(rows)`` with ``text_col`` and the column ``derived`` of the next row in descending order of the id, as ``next_*``.
 
-    Ids fall into at most ``GROUPS`` ranges of similar width.  Within a range a
-    window finds the next row; only a range's last row looks at the first row of
-    the next range that is not empty, through a join that keeps the rows where
-    they are.  What the driver sees is one number for each range.
+    Groups are cut at quantiles of (id, hash of the text), read off a sample of at
+    most ``SEEN * GROUPS`` keys.  Each row goes to its group, is derived from there
+    once, and a window finds its successor; only a group's last row looks at the
+    first row of the next group that is not empty.  The driver sees one key a group.
     """
     spark = rows.sparkSession
-    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
-    least, most, n = rows.where(F.col(id_col).isNotNull()).agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    groups = min(GROUPS, -(-n // GROUP_ROWS)) if n else 1
-    width = max(1, -(-(int(most) - int(least) + 1) // groups)) if n else 1
-    group = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.expr(f"cast((cast(`{id_col}` as decimal(20,0)) - {least or 0}) div {width} as int)"))
-    placed = rows.withColumn("x_group", group).withColumn("x_key", key).withColumn("x_tie", F.xxhash64(*fields))
-    order = [F.col("x_key").desc(), F.col("x_tie").desc()]
-    heads = placed.groupBy("x_group").agg(F.max(F.struct("x_key", "x_tie")).alias("x_head"))
-    present = sorted((r.x_group for r in placed.select("x_group").distinct().collect()), reverse=True)
-    following = [(g, present[(i + 1) % len(present)]) for i, g in enumerate(present)] or [(0, 0)]
-    followers = F.broadcast(spark.createDataFrame(following, "x_group int, x_follower int"))  # ``GROUPS`` rows at most
-    first = placed.join(F.broadcast(heads.select(F.col("x_group"), "x_head.*")), ["x_group", "x_key", "x_tie"])  # ``GROUPS`` rows at most
-    first = first.dropDuplicates(["x_group"]).select(F.col("x_group").alias("x_follower"), F.struct(*fields).alias("x_first"))
-    first = first.join(followers, "x_follower").select("x_group", "x_first")
-    window = Window.partitionBy("x_group").orderBy(*order)
-    led = placed.withColumn("x_lead", F.lead(F.struct(*fields)).over(window)).join(first, "x_group", "left")
-    following_row = F.coalesce("x_lead", "x_first")
-    return led.select(*rows.columns, *[following_row[f].alias(f"next_{f}") for f in fields])
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    least = -(1 << 63)
+    # null ids come after all others: their ties are the negative ones
+    tie = F.when(F.col(id_col).isNull(), hashed.bitwiseOR(F.lit(least))).otherwise(hashed.bitwiseAND(F.lit((1 << 63) - 1)))
+    keyed = rows.withColumn("x_key", F.coalesce(F.col(id_col), F.lit(least))).withColumn("x_tie", tie)
+    groups = min(GROUPS, -(-rows.count() // group_rows))
+    cuts: list[tuple[int, int]] = []
+    if groups > 1:
+        every = max(1, rows.count() // (SEEN * groups))
+        seen = sorted((r.x_key, r.x_tie) for r in keyed.where(F.pmod(F.xxhash64("x_key", "x_tie"), F.lit(every)) == 0).select("x_key", "x_tie").collect())
+        cuts = sorted({seen[k * len(seen) // groups] for k in range(1, groups)}) if seen else []
+    placed = keyed.withColumn("x_group", _upper_bound([c[0] for c in cuts], [c[1] for c in cuts], F.col("x_key"), F.col("x_tie")))
+    heads = placed.groupBy("x_group").agg(F.max(F.struct("x_key", "x_tie")).alias("x_head")).collect()  # ``GROUPS`` rows at most
+    heads = sorted(((r.x_group, r.x_head.x_key, r.x_head.x_tie) for r in heads), reverse=True)
+    before = [heads[k - 1][0] for k in range(len(heads))]
+    followed = spark.createDataFrame([(*h, b) for h, b in zip(heads, before, strict=True)], "x_group int, x_key long, x_tie long, x_before int")
+    first = placed.join(F.broadcast(followed), ["x_group", "x_key", "x_tie"]).dropDuplicates(["x_group"])
+    first = derive(first).select(F.col("x_before").alias("x_group"), F.struct(text_col, derived).alias("x_first"))
+    own = derive(placed.repartition("x_group"))
+    window = Window.partitionBy("x_group").orderBy(F.col("x_key").desc(), F.col("x_tie").desc())
+    led = own.withColumn("x_lead", F.lead(F.struct(text_col, derived)).over(window)).join(first, "x_group", "left")
+    following = F.coalesce("x_lead", "x_first")
+    return led.select(*rows.columns, derived, following[text_col].alias(f"next_{text_col}"), following[derived].alias(f"next_{derived}"))
 
 
 def fingerprint_documents(
@@ -199,9 +213,7 @@ def fingerprint_documents(
     """
     rows = documents.select(F.col(id_col).cast("long").alias("x_id"), F.coalesce(F.col(text_col), F.lit("")).alias("x_text"))
     lexicon = build_lexicon(rows, "x_text", low, high)
-    spark.sparkContext._jvm.System.gc()  # the frequencies' shuffle files are no longer needed
-    signed = with_signature(rows, "x_text", "x_print", lexicon)
-    led = with_next(signed, "x_id", ("x_text", "x_print"))
+    led = with_next(rows, "x_id", "x_text", lambda part: with_signature(part, "x_text", "x_print", lexicon), "x_print")
     n = F.length("x_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(x_text, 1, length(x_text) - cast(floor(length(x_text) / 2) as int))"), F.expr("substring(next_x_text, 1, cast(floor(length(x_text) / 2) as int))"))
