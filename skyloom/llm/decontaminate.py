@@ -1,10 +1,11 @@
 """Benchmark decontamination: broadcast n-gram set, token-window scan, exact hits.
 
-Only DataFrame functions run here.  The windows of the benchmark form a small
-table whose row count is checked before it is broadcast.  A bitmap over three
-words of each window (first, middle, last) lets the scan of the documents turn
-only likely windows into rows; every such row is then joined on the whole window
-text, so a reported hit is exact.
+Only DataFrame functions run here.  A bitmap over three words of each benchmark
+window (first, middle, last), sized by their count, lets the scan of the documents
+turn only likely windows into rows.  Every such row is then joined on the window's
+hash and its whole text, so a reported hit is exact.  The windows are broadcast
+behind a check of their number; a larger set is shuffled, and with it only the
+likely rows.
 
 Edge cases: null, empty and word-free texts have no words and are clean; an empty
 benchmark leaves every document clean; null item ids take no part; repeated
@@ -44,11 +45,15 @@ def _probe(words: Column, at: Column, length: int) -> Column:
     return F.xxhash64(F.get(words, at - 1), F.get(words, at - 1 + length // 2), F.get(words, at - 2 + length))
 
 
-def _bitmaps(windows: DataFrame, lengths: list[int], n_windows: int) -> dict[int, tuple[Column, int]]:
+#: Bits of a bitmap at most (8 MB); beyond 16 bits a window more rows pass it and the join turns them away.
+MOST_BITS = 26
+
+
+def _bitmaps(windows: DataFrame, by_length: dict[int, int]) -> dict[int, tuple[Column, int]]:
     """For each window length a bitmap of the windows' probe hashes, as a literal array of longs."""
     out = {}
-    for length in lengths:
-        log2 = max(12, (16 * n_windows).bit_length())
+    for length, count in sorted(by_length.items()):
+        log2 = min(MOST_BITS, max(12, (16 * count).bit_length()))
         slots = windows.where(F.col("w_len") == length).select(F.split("w_text", " ").alias("w")).select((_probe(F.col("w"), F.lit(1), length).bitwiseAND((1 << log2) - 1)).alias("slot")).distinct()
         longs = [0] * (1 << (log2 - 6))
         for row in slots.toLocalIterator():
@@ -91,13 +96,12 @@ def find_contamination(
     Returns ``id_col, n_words long, n_hit long, spans array<struct<first,last>>``
     (merged 1-based word ranges), ``items array<string>, contaminated boolean``
     and the columns named in ``carry``.  Up to ``broadcast_windows`` distinct
-    windows are broadcast behind a bitmap; beyond that both sides are shuffled.
+    windows are broadcast; beyond that they and the likely rows are shuffled.
     """
     windows = benchmark_windows(benchmark, item_col, item_text_col, n)
     by_length = {r["w_len"]: r["count"] for r in windows.groupBy("w_len").count().collect()}  # n rows at most
     total = sum(by_length.values())
-    small = total <= broadcast_windows
-    bitmaps = _bitmaps(windows, sorted(by_length), total) if small else {}
+    bitmaps = _bitmaps(windows, by_length)
 
     docs = documents.select(F.monotonically_increasing_id().alias("x_row"), F.col(id_col).alias("x_id"), *[F.col(c).alias(f"x_c{i}") for i, c in enumerate(carry)], normalised_words(F.col(text_col)).alias("x_words"))
     x_words = F.col("x_words")
@@ -106,14 +110,16 @@ def find_contamination(
     found = [F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("w"))).cast(kind)]
     for length in sorted(by_length):
         starts = F.when(F.size(x_words) >= length, F.sequence(F.lit(1), F.greatest(F.size(x_words) - length + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        if small:
-            starts = F.filter(starts, _likely(x_words, length, *bitmaps[length]))
+        starts = F.filter(starts, _likely(x_words, length, *bitmaps[length]))
         found.append(F.transform(starts, _candidate(x_words, length)).cast(kind))
     kept = ["x_row", "x_id", *[f"x_c{i}" for i in range(len(carry))]]
     rows = docs.select(*kept, F.size(x_words).cast("long").alias("x_n"), F.concat(*found).alias("x_found"))
     rows = rows.select(*kept, "x_n", F.explode("x_found").alias("x_f")).select(*kept, "x_n", "x_f.pos", "x_f.len", "x_f.w")
-    side = F.broadcast(windows) if small else windows
-    hits = rows.join(side, (F.col("w") == F.col("w_text")) & (F.col("len") == F.col("w_len")), "left").where((F.col("pos") == 0) | F.col("w_text").isNotNull())
+    side = windows.withColumn("w_hash", F.xxhash64("w_text"))
+    side = F.broadcast(side) if total <= broadcast_windows else side
+    # marker rows have no window and meet none: each has a hash of its own, so that a shuffle spreads them
+    rows = rows.withColumn("x_hash", F.when(F.col("pos") > 0, F.xxhash64("w")).otherwise(F.col("x_row")))
+    hits = rows.join(side, (F.col("x_hash") == F.col("w_hash")) & (F.col("w") == F.col("w_text")) & (F.col("len") == F.col("w_len")), "left").where((F.col("pos") == 0) | F.col("w_text").isNotNull())
     hit = F.when(F.col("pos") > 0, F.struct("pos", "len"))
     one = hits.groupBy("x_row").agg(
         F.max(F.when(F.col("pos") == 0, F.struct(*kept[1:], F.col("x_n")))).alias("x_doc"),
@@ -125,17 +131,12 @@ def find_contamination(
 
 def _judged(one: DataFrame, id_col: str, carry: tuple[str, ...]) -> DataFrame:
     """Merge each document's hits to spans and apply the contamination rule."""
-    start = F.array().cast("array<struct<first:int,last:int>>")
-
-    def merged(spans: Column, x: Column) -> Column:
-        first, last = x["pos"], x["pos"] + x["len"] - 1
-        tail = F.element_at(spans, -1)
-        joined = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(tail["first"].alias("first"), F.greatest(tail["last"], last).alias("last"))))
-        return F.when((F.size(spans) > 0) & (F.get(spans, F.size(spans) - 1)["last"] >= first - 1), joined).otherwise(F.concat(spans, F.array(F.struct(first.alias("first"), last.alias("last")))))
-
-    with_spans = one.withColumn("spans", F.aggregate("x_hits", start, merged))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["last"] - s["first"] + 1).cast("long"))
-    out = with_spans.withColumn("n_hit", n_hit)
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("x_hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))
+    out = one.withColumn("x_covered", covered).withColumn("n_hit", F.size("x_covered").cast("long"))
+    # covered words without a covered one before them, and after them
+    first = F.array_except("x_covered", F.transform("x_covered", lambda p: p + 1))
+    last = F.array_except("x_covered", F.transform("x_covered", lambda p: p - 1))
+    out = out.withColumn("spans", F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last"))))
     return out.select(
         F.col("x_doc.x_id").alias(id_col),
         F.col("x_doc.x_n").alias("n_words"),

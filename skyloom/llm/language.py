@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import textops
-from .sampling import bounded, fold
+from .sampling import bounded_each, fold
 
 WIDTHS = (2, 3, 4)
 WINDOW = 256
@@ -156,19 +156,20 @@ def predict(net: Network, tables: list[list[np.ndarray]], column: pa.Array) -> t
     return best, total[np.arange(len(best)), best].astype(np.float64)
 
 
-def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 400, folds: int = 4, held_out: int = 2) -> Network:
+def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 400, longest: int = 200_000, folds: int = 4, held_out: int = 2) -> Network:
     """Train on at most ``sample`` documents of each language outside the held-out fold.
 
-    The languages are the distinct non-null values there (a few, not growing with rows).
+    The languages are the distinct non-null values there (a few, not growing with
+    rows).  Texts of more than ``longest`` characters, null texts and null ids are
+    not learnt from; of a text at most ``per_text`` windows are (see :func:`train`).
     """
-    known = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), folds) != held_out))
+    known = documents.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= longest) & (fold(F.col(id_col), folds) != held_out))
     known = known.select(F.col(id_col).cast("long").alias("x_id"), F.col(text_col).alias("x_text"), F.col(lang_col).alias("x_lang"))
-    langs = sorted(r.x_lang for r in known.select("x_lang").distinct().collect())
-    ids = [(r.x_id, lang) for lang in langs for r in bounded(known.where(F.col("x_lang") == lang).select("x_id"), "x_id", sample)]
+    ids = bounded_each(known.select("x_id", "x_lang"), "x_id", "x_lang", sample)
     if not ids:
         return train([], [])
     wanted = F.broadcast(documents.sparkSession.createDataFrame(ids, "x_id long, x_lang string"))  # ``sample`` rows a language at most
-    rows = known.join(wanted, ["x_id", "x_lang"]).select("x_id", "x_text", "x_lang").collect()
+    rows = known.join(wanted.distinct(), ["x_id", "x_lang"]).select("x_id", "x_text", "x_lang").collect()
     rows = sorted(rows, key=lambda r: (r.x_id, r.x_lang, r.x_text))
     return train([r.x_text for r in rows], [r.x_lang for r in rows])
 

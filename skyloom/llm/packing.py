@@ -37,21 +37,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def default_ranks() -> str:
+    """File of the same vocabulary as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _encoder(path: str, ranks_path: str | None):
     """Function from text to token ids for the vocabulary in ``path``.
 
-    Where the vocabulary also lies beside the file as ranks, the ranks are used:
-    they give the same ids at several times the speed.
+    With ``ranks_path``, a file of the same vocabulary as ranks, these give the same
+    ids at several times the speed.
     """
-    ranks_file = Path(path).with_suffix(".tiktoken")
-    if ranks_file.exists():
+    if ranks_path is not None:
         import json
 
         import public_tokenizers
         import tiktoken
 
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_file.open("rb"))}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(ranks_path).open("rb"))}
         special = {t["content"]: t["id"] for t in json.loads(Path(path).read_text())["added_tokens"]}
         encoding = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         return lambda text: encoding.encode(text, allowed_special="all")
@@ -61,11 +67,11 @@ def _encoder(path: str):
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def tokenize_pieces(documents: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int) -> DataFrame:
+def tokenize_pieces(documents: DataFrame, tokenizer: str, ranks: str | None, id_col: str, text_col: str, size: int) -> DataFrame:
     """For each document the lengths and checksums of its pieces, in order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(tokenizer)
+        ids_of = _encoder(tokenizer, ranks)
         for batch in batches:
             lengths, sums, total = [], [], 0
             at = [0]
@@ -153,6 +159,7 @@ def pack(
     documents: DataFrame,
     *,
     tokenizer: str | None = None,
+    ranks: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     size: int = 1024,
@@ -161,13 +168,18 @@ def pack(
     """Places of all pieces: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``shard_documents`` bounds what one packing task holds (about 24 bytes a
-    piece); a larger shard wastes less in its last open bins.
+    piece); a larger shard wastes less in its last open bins.  ``tokenizer`` is a
+    vocabulary of the ``tokenizers`` library and ``ranks``, if given, the file of the
+    same vocabulary as ranks; without both, the public byte-level one and its ranks.
     """
     bounded_batches(spark)
     scratch = Scratch(spark, "pack")
-    lengths = scratch.write(tokenize_pieces(documents, tokenizer or default_tokenizer(), id_col, text_col, size), "lengths")
+    if tokenizer is None:
+        tokenizer, ranks = default_tokenizer(), default_ranks()
+    lengths = scratch.write(tokenize_pieces(documents, tokenizer, ranks, id_col, text_col, size), "lengths")
     shards = max(1, -(-lengths.count() // shard_documents))
-    dealt = lengths.withColumn("x_shard", F.pmod(F.xxhash64("x_id", "x_len", "x_crc"), F.lit(shards)).cast("int"))
+    # rows of the written table are dealt by their place in it, so that repeated ones spread too
+    dealt = lengths.withColumn("x_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("x_shard").applyInArrow(lambda table: _pack_shard(table, size), schema)
 

@@ -214,8 +214,8 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000, folds: int = 5) -> Model:
-    """Train on at most ``sample`` labelled documents outside the held-out fold.
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000, longest: int = 200_000, folds: int = 5) -> Model:
+    """Train on at most ``sample`` labelled documents outside the held-out fold, none longer than ``longest`` characters.
 
     Documents with several labels count with each; null labels are ignored.
     """
@@ -225,7 +225,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return train([], np.zeros(0))
     spark = documents.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(r.x_id, int(r.x_label)) for r in chosen], "x_id long, x_label int"))  # ``sample`` rows at most
-    rows = documents.select(F.col(id_col).cast("long").alias("x_id"), F.col(text_col).alias("x_text")).join(wanted, "x_id")
+    rows = documents.select(F.col(id_col).cast("long").alias("x_id"), F.col(text_col).alias("x_text")).where(F.coalesce(F.length("x_text"), F.lit(0)) <= longest).join(wanted, "x_id")
     rows = sorted(rows.collect(), key=lambda r: (r.x_id, r.x_label, r.x_text or ""))
     return train([r.x_text or "" for r in rows], np.array([r.x_label for r in rows]))
 

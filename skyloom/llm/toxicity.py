@@ -1,19 +1,21 @@
 """Toxicity by a classifier chain over the presence of words and stems.
 
-The categories form a chain: each link is a logistic model over the words (and
-word beginnings) of the whole text plus the probabilities of all earlier links.  While training, the
-earlier probabilities of a document come from models that did not see it
-(out-of-fold), so later links do not learn to trust overfitted inputs.
+The label columns of ``labels`` form a chain, ``toxic`` last: each link is a
+logistic model over the words (and word beginnings) of the whole text plus the
+probabilities of all earlier links.  While training, the earlier probabilities of
+a document come from models that did not see it (out-of-fold), so later links do
+not learn to trust overfitted inputs.  Nothing but labelled rows is learnt from.
 
-``labels`` names only toxic documents; the categories before the last are read
-off the same rows: a document belongs to a category if it is toxic and holds one
-of the category's terms.  The vocabulary is chosen by its association with the
-categories on a bounded sample and kept as 64-bit word hashes.
+Training is bounded: at most ``sample`` documents of each toxic label, none longer
+than ``longest`` characters, and a vocabulary of ``words`` words and stems, chosen
+by their association with the last label and kept as 64-bit hashes.
 
 Edge cases: null, empty and word-free texts get the probabilities of no words;
 very long texts are scored whole; without labelled rows of both kinds every
-probability is 0; repeated rows are scored alike; an empty table gives an empty
-result; extra columns are ignored.
+probability is 0; a label that is null in some rows is learnt from the others, and
+one without both kinds there is 0 throughout; ids that occur in one table only or
+repeatedly pair as a join pairs them; repeated rows are scored alike; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +32,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import textops
 from .sampling import bounded, fold
 
-#: Terms that define the categories before the last one (fixed values).
-CATEGORY_TERMS = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum", "trash"),
-    "contempt": ("disgusting", "pathetic", "stupid", "worthless"),
-}
-CHAIN = (*CATEGORY_TERMS, "toxic")
-#: How often each term stands for a training text (words seen less than three times are not learnt).
-TERM_ROWS = 3
+#: Label columns in the order of the chain.
+CHAIN = ("quality", "toxic")
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
 
@@ -142,58 +138,67 @@ class Chain:
         return out if self.links else np.zeros((n, len(CHAIN)))
 
 
-def train(texts: list[str], toxic: np.ndarray, words: int = 2000, folds: int = 3) -> Chain:
-    """Choose ``words`` words and fit the links, each on out-of-fold earlier links."""
-    if len(set(toxic.tolist())) < 2:
-        return Chain(np.zeros(0, np.uint64), ())
-    # every term is a toxic text of its own, which matters where few toxic rows are labelled
-    own = [t for terms in CATEGORY_TERMS.values() for t in terms] * TERM_ROWS
-    texts, toxic = [*texts, *own], np.append(toxic, np.ones(len(own), toxic.dtype))
+def train(texts: list[str], labels: np.ndarray, words: int = 2000, folds: int = 3) -> Chain:
+    """Choose ``words`` words and fit the links, each on out-of-fold earlier links.
+
+    ``labels`` has a column of 0, 1 or -1 (unknown) for each link; the last has no unknowns.
+    """
     n = len(texts)
+    if not n or len(set(labels[:, -1].tolist())) < 2:
+        return Chain(np.zeros(0, np.uint64), ())
     row, hashes = _distinct(texts)
     all_words, word = np.unique(hashes, return_inverse=True)  # the first is 0, "no stem", which rows of both kinds hold
+    last = labels[:, -1]
     seen = np.bincount(word, minlength=len(all_words))
-    with_label = np.bincount(word, toxic[row], len(all_words))
+    with_label = np.bincount(word, last[row], len(all_words))
     # squared distance from independence, as in a chi-squared test, for words seen at least three times
-    expected = seen * toxic.mean()
-    gain = np.where(seen >= 3, (with_label - expected) ** 2 / np.maximum(expected * (1 - toxic.mean()), 1e-9), -1)
+    expected = seen * last.mean()
+    gain = np.where(seen >= 3, (with_label - expected) ** 2 / np.maximum(expected * (1 - last.mean()), 1e-9), -1)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:words])
     vocabulary = all_words[chosen]
     named = np.isin(word, chosen)
-    targets = []
-    for terms in CATEGORY_TERMS.values():
-        term_hashes, _ = word_hashes(pa.array([" ".join(terms)], pa.large_string()))
-        holds = np.zeros(n)
-        holds[row[np.isin(hashes, term_hashes[:: 1 + len(STEMS)])]] = 1
-        targets.append(holds * toxic)
-    targets.append(toxic.astype(float))
     row, word = row[named], np.searchsorted(chosen, word[named])
     part = np.arange(n) % folds
     links, earlier = [], np.zeros((n, 0))
-    for y in targets:
-        links.append(_fit_link(row, word, n, len(vocabulary), earlier, y))
+    for y in labels.T:
+        links.append(_fit_rows(row, word, len(vocabulary), earlier, y, y >= 0))
         unseen = np.zeros(n)
         for k in range(folds):
-            inside = part != k
-            own = inside[row]
-            to_part = np.cumsum(inside) - 1
-            theta = _fit_link(to_part[row[own]], word[own], int(inside.sum()), len(vocabulary), earlier[inside], y[inside])
-            unseen[~inside] = _apply_link(theta, row, word, n, earlier)[~inside]
+            theta = _fit_rows(row, word, len(vocabulary), earlier, y, (y >= 0) & (part != k))
+            unseen[part == k] = _apply_link(theta, row, word, n, earlier)[part == k]
         earlier = np.column_stack([earlier, unseen])
     return Chain(vocabulary, tuple(links))
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1200, folds: int = 5) -> Chain:
-    """Train on at most ``sample`` documents of each label outside the held-out fold."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != 0))
-    known = known.select(F.col(id_col).cast("long").alias("x_id"), F.col(label_col).cast("int").alias("x_label"))
-    chosen = [r for y in (0, 1) for r in bounded(known.where(F.col("x_label") == y), "x_id", sample)]
-    if not chosen:
-        return train([], np.zeros(0))
-    wanted = F.broadcast(documents.sparkSession.createDataFrame([(r.x_id, r.x_label) for r in chosen], "x_id long, x_label int"))  # twice ``sample`` rows at most
-    rows = documents.select(F.col(id_col).cast("long").alias("x_id"), F.col(text_col).alias("x_text")).join(wanted, "x_id").collect()
-    rows = sorted(rows, key=lambda r: (r.x_id, r.x_label, r.x_text or ""))
-    return train([r.x_text or "" for r in rows], np.array([r.x_label for r in rows]))
+def _fit_rows(row: np.ndarray, word: np.ndarray, size: int, extra: np.ndarray, y: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Weights learnt from the rows ``inside``; of no effect but the intercept where these are of one kind."""
+    if len(set(y[inside].tolist())) < 2:
+        return np.append(np.zeros(size + extra.shape[1]), -30.0)
+    own, to_part = inside[row], np.cumsum(inside) - 1
+    return _fit_link(to_part[row[own]], word[own], int(inside.sum()), size, extra[inside], y[inside].astype(float))
+
+
+def fit(
+    documents: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chain: tuple[str, ...] = CHAIN,
+    sample: int = 1200,
+    longest: int = 200_000,
+    folds: int = 5,
+) -> Chain:
+    """Train on at most ``sample`` documents of each value of the chain's last label outside the held-out fold."""
+    known = labels.where(F.col(chain[-1]).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != 0))
+    names = [f"x_y{k}" for k in range(len(chain))]
+    known = known.select(F.col(id_col).cast("long").alias("x_id"), *[F.coalesce((F.col(c) == 1).cast("int"), F.lit(-1)).alias(y) for c, y in zip(chain, names, strict=True)])
+    rows = [r for y in (0, 1) for r in bounded(known.where(F.col(names[-1]) == y), "x_id", sample)]
+    if not rows:
+        return train([], np.zeros((0, len(chain))))
+    wanted = F.broadcast(documents.sparkSession.createDataFrame(rows, known.schema))  # twice ``sample`` rows at most
+    texts = documents.select(F.col(id_col).cast("long").alias("x_id"), F.col(text_col).alias("x_text")).where(F.coalesce(F.length("x_text"), F.lit(0)) <= longest)
+    rows = sorted(texts.join(wanted, "x_id").collect(), key=lambda r: (r.x_id, *[r[y] for y in names], r.x_text or ""))
+    return train([r.x_text or "" for r in rows], np.array([[r[y] for y in names] for r in rows]).reshape(-1, len(chain)))
 
 
 def score(documents: DataFrame, chain: Chain, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), piece_bytes: int = 1 << 19) -> DataFrame:

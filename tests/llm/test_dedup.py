@@ -240,3 +240,23 @@ def test_contamination_without_broadcast(spark):
     large = decontaminate.find_contamination(spark, rows, bench, broadcast_windows=0)
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
     assert small.where(F.col("contaminated")).count() == 1
+
+
+def test_contamination_with_many_windows(spark):
+    """More windows than are broadcast: only likely windows of the documents become rows."""
+    item = lambda k: " ".join(f"q{k}x{j}" for j in range(13))
+    bench = spark.range(210_000).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(0, 12), j -> concat('q', id, 'x', j))) as text")
+    prose = " ".join(f"u{k}" for k in range(5000))
+    rows = documents(spark, [prose, f"{prose} {item(7)} end", f"{item(209_999)} {item(3)}", None])
+    found = decontaminate.find_contamination(spark, rows, bench)
+    out = {r.doc_id: r for r in found.collect()}
+    assert [out[k].n_hit for k in range(4)] == [0, 13, 26, 0]
+    assert [out[k]["items"] for k in range(4)] == [[], ["7"], ["209999", "3"], []]
+
+
+def test_spans_of_many_hits(spark):
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "delta")], "item_id long, text string")
+    text = "alpha beta gamma x delta y alpha beta z " * 3000
+    (one,) = decontaminate.find_contamination(spark, documents(spark, [text]), bench).collect()
+    assert one.n_hit == 18_000 and len(one.spans) == 9000
+    assert [tuple(s) for s in one.spans[:4]] == [(1, 3), (5, 5), (7, 8), (10, 12)]

@@ -52,19 +52,19 @@ def test_marginals_against_enumeration():
 def test_single_kind_of_label():
     model = quality.train(["a", "b"], np.array([1, 1]))
     assert quality.score_texts(model, pa.array(["a", None], pa.large_string())).tolist() == [0.5, 0.5]
-    chain = toxicity.train(["a"], np.array([0]))
-    assert chain.probabilities(pa.array(["idiot", None], pa.large_string())).tolist() == [[0, 0, 0]] * 2
+    chain = toxicity.train(["a"], np.array([[1, 0]]))
+    assert chain.probabilities(pa.array(["idiot", None], pa.large_string())).tolist() == [[0, 0]] * 2
 
 
 def test_toxicity_on_held_out_documents(labelled):
     train, held = labelled
-    held = [r for r in held if r.quality]  # junk keeps the label of the text it replaced
     chosen = [r for r in train if r.toxic][:1200] + [r for r in train if not r.toxic][:1200]
-    chain = toxicity.train([r.text for r in chosen], np.array([r.toxic for r in chosen]))
+    chain = toxicity.train([r.text for r in chosen], np.array([[r.quality, r.toxic] for r in chosen]))
     p = chain.probabilities(pa.array([r.text for r in held], pa.large_string()))[:, -1]
     y = np.array([r.toxic for r in held])
-    assert (p[y == 1] >= 0.5).mean() > 0.95
-    assert (p[y == 0] < 0.5).mean() > 0.99
+    # every held-out row counts, junk (which keeps the label of the text it replaced) included: 0.93 and 0.99 when written
+    assert (p[y == 1] >= 0.5).mean() > 0.9
+    assert (p[y == 0] < 0.5).mean() > 0.985
     assert len(chain.links) == len(toxicity.CHAIN)
     edge = chain.probabilities(pa.array([None, "", "... !"], pa.large_string()))
     assert (edge < 0.5).all()
@@ -125,3 +125,30 @@ def test_edited_texts_are_nearer_than_unrelated_ones(spark):
     out = fingerprints.op5_document_fingerprints(spark, "/root/testdata/sf0.001")
     nearer, n = out.agg(F.count_if(F.col("near_edited") > F.col("near_next")), F.count("*")).first()
     assert nearer > 0.9 * n
+
+
+@pytest.mark.parametrize("kind", ["empty", "null", "repeated", "unmatched"])
+def test_models_of_unusual_tables(spark, kind):
+    """Empty tables, null columns, repeated rows, labels without documents; extra columns with clashing names."""
+    schema = "doc_id long, text string, lang string, x_id string, x_text int, score string"
+    rows = {"empty": [], "null": [(None, None, None, None, None, None)] * 3, "repeated": [(1, "a b\nc", "en", "q", 1, "s")] * 4 + [(2, "x" * 300_000, "de", "q", 1, "s")], "unmatched": [(9, "alone", "en", "q", 1, "s")]}[kind]
+    labels = {"empty": [], "null": [(None, None, None), (1, None, None)], "repeated": [(1, 1, 0)] * 3 + [(2, 0, 1)], "unmatched": [(5, 1, 1), (6, 0, 0)]}[kind]
+    docs = spark.createDataFrame(rows, schema)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scored = quality.score(docs, quality.fit(docs, known)).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+    toxic = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    assert len(toxic) == len(rows) and all(0 <= r.p_toxic <= 1 for r in toxic)
+    named = language.identify(docs, language.fit(docs)).collect()
+    assert len(named) == len(rows) and all(0 <= r.score <= 1 for r in named)
+    assert all(r.lang_pred == "und" for r in named) or kind in ("repeated", "unmatched")
+
+
+def test_samples_of_each_group(spark):
+    from skyloom.llm import sampling
+
+    rows = spark.range(5000).selectExpr("id as k", "if(id % 100 = 0, 'rare', 'common') as g")
+    picked = sampling.bounded_each(rows, "k", "g", 200)
+    by = {g: [k for k, x in picked if x == g] for g in ("rare", "common")}
+    assert len(by["rare"]) == 50 and len(set(by["common"])) == 200
+    assert sorted(picked) == sorted(sampling.bounded_each(rows.repartition(7), "k", "g", 200))

@@ -64,7 +64,7 @@ PIECES = ["'s", "<|endoftext|>", "<|", " ", "\n", "\u00a0", "\u2003", "\x85", "A
 @given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(PIECES), max_size=12).map("".join)))
 def test_ranks_give_the_ids_of_the_vocabulary(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert list(packing._encoder(packing.default_tokenizer())(text)) == VOCABULARY.encode(text, add_special_tokens=False).ids
+    assert list(packing._encoder(packing.default_tokenizer(), packing.default_ranks())(text)) == VOCABULARY.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_of_nothing_and_of_repeats(spark):
@@ -74,6 +74,18 @@ def test_packing_of_nothing_and_of_repeats(spark):
     assert len(rows) == 3 and len({(r.sequence_id, r.offset) for r in rows}) == 3
 
 
+def test_repeated_rows_spread_over_the_shards(spark):
+    rows = packing.pack(spark, spark.createDataFrame([(None, "same text")] * 400, "doc_id long, text string").repartition(3), shard_documents=100).collect()
+    shards = [r.sequence_id >> 32 for r in rows]
+    assert len(rows) == 400 and max(shards.count(s) for s in set(shards)) < 200
+
+
+def test_the_vocabulary_alone_gives_the_same_places(spark):
+    docs = spark.createDataFrame([(i, "naïve words <|endoftext|> " * i) for i in range(6)], "doc_id long, text string")
+    places = [sorted(map(tuple, packing.pack(spark, docs, tokenizer=t).collect())) for t in (None, packing.default_tokenizer())]
+    assert places[0] == places[1]
+
+
 def test_place_minimises_the_sum_of_squares():
     packer = packing.SumOfSquares(10)
     rng = np.random.default_rng(2)
