@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions import timeaxis
 from .operators import select
 from .plans import inventory, pipeline
 from .sources import zarr
@@ -92,10 +93,11 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName(f"skyloom {args.command}").getOrCreate()
     times = zarr.read_axis(args.input, arrays["time"])
-    axis = spark.createDataFrame([(i, int(t)) for i, t in enumerate(times)], "ti int, days int")
-    origin = str(arrays["time"].attrs.get("units", "days since 1970-01-01")).partition(" since ")[2][:10] or "1970-01-01"
-    cells = zarr.read_cells(spark, args.input, args.variable).join(F.broadcast(axis), "ti")
-    cells = cells.select(F.date_add(F.lit(origin).cast("date"), F.col("days")).alias("t"), "y", "x", "v")
+    axis = spark.createDataFrame([(i, t.item()) for i, t in enumerate(times)], f"ti int, x_time {'double' if times.dtype.kind == 'f' else 'long'}")
+    attrs = arrays["time"].attrs
+    cells = zarr.read_cells(spark, args.input, args.variable).join(axis, "ti")
+    date = timeaxis.decoded_time(F.col("x_time"), str(attrs.get("units", "days since 1970-01-01")), str(attrs.get("calendar", "standard")))
+    cells = cells.select(date.alias("t"), "y", "x", F.col("v").cast("double").alias("v"))
     result = pipeline.run(cells, lat, lon, config, args.output, args.temporary, args.overwrite)
     print(result)
     return 0

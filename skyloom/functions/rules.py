@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 import operator
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,24 +213,22 @@ def finite(value: Column) -> Column:
     return F.when(wide.isNotNull() & ~F.isnan(wide) & (F.abs(wide) != F.lit(math.inf)), wide)
 
 
-def statistics_columns(value: Column) -> list[Column]:
-    """All statistics of the finite values, in one aggregation (population deviation, exact percentiles)."""
+def statistics_columns(value: Column, wanted: Iterable[str] = STATISTICS) -> list[Column]:
+    """The wanted statistics of the finite values, in one aggregation (population deviation, exact percentiles)."""
     v = finite(value)
-    return [
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.percentile(v, 0.5).alias("median"),
-        F.percentile(v, 0.5).alias("p50"),
-        F.percentile(v, 0.95).alias("p95"),
-    ]
-
-
-def statistics(cells: DataFrame, value: str) -> dict[str, float]:
-    """The statistics as numbers; all NaN if no value is finite."""
-    row: Row = cells.agg(*statistics_columns(F.col(value))).first()
-    return {k: math.nan if row[k] is None else float(row[k]) for k in STATISTICS}
+    every = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_pop(v), "median": F.percentile(v, 0.5), "p50": F.percentile(v, 0.5), "p95": F.percentile(v, 0.95)}
+    return [every[name].alias(name) for name in STATISTICS if name in set(wanted)]
+
+
+def statistics(cells: DataFrame, value: str, wanted: Iterable[str] = STATISTICS) -> dict[str, float]:
+    """The wanted statistics as numbers, NaN if no value is finite or it is not wanted.
+
+    Percentiles count every distinct value in one place, so they are left out
+    unless a rule names them.
+    """
+    columns = statistics_columns(F.col(value), wanted)
+    row = cells.agg(*columns).first().asDict() if columns else {}
+    return {k: math.nan if row.get(k) is None else float(row[k]) for k in STATISTICS}
 
 
 def apply_rules(value: Column, kind: T.DataType, rules: tuple[Rule, ...], statistics: Mapping[str, float] | None = None) -> Column:

@@ -160,15 +160,20 @@ def suggest_rule(fields: Sequence[NameField], time_kind: str | None) -> TimeRule
     return None
 
 
-def decoded_time(value: Column, units: str) -> Column:
-    """Date from a number and ``<unit> since <origin>`` in the standard calendar."""
-    found = re.fullmatch(r"\s*(day|hour|minute|second)s?\s+since\s+(\d{4}-\d{1,2}-\d{1,2})(?:[T ](.*))?\s*", units)
+STANDARD_CALENDARS = ("standard", "gregorian", "proleptic_gregorian")
+
+
+def decoded_time(value: Column, units: str, calendar: str = "standard") -> Column:
+    """Date from a number and ``<unit> since <origin>`` in the standard calendar, whatever the session's time zone."""
+    found = re.fullmatch(r"\s*(day|hour|minute|second)s?\s+since\s+(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.\d*)?)?)?\s*(?:Z|UTC)?\s*", units)
     if found is None:
         raise TimeAxisError(f"{units!r} is not a unit since an origin")
+    if calendar not in STANDARD_CALENDARS:
+        raise TimeAxisError(f"dates of the calendar {calendar!r} are not decoded")
     seconds = {"day": 86400, "hour": 3600, "minute": 60, "second": 1}[found[1]]
-    clock = (found[3] or "00:00:00").split(".")[0].rstrip("Z")
-    origin = F.unix_timestamp(F.lit(f"{found[2]} {clock}").cast("timestamp"))
-    return F.timestamp_seconds(origin + value * seconds).cast("date")
+    clock = sum(int(part or 0) * unit for part, unit in zip(found.groups()[4:], (3600, 60, 1), strict=True))
+    origin = F.make_date(*[F.lit(int(part)) for part in found.groups()[1:4]])
+    return F.date_add(origin, F.floor((value * seconds + clock) / 86400).cast("int"))
 
 
 def time_kind(units: str | None, values: Sequence[float] = ()) -> str | None:

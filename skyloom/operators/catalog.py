@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from datetime import datetime
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 COMPLETE_SUFFIXES = (".nc", ".nc4", ".nc3", ".cdf", ".hdf")
 NAMED_SUFFIXES = (*COMPLETE_SUFFIXES, ".tif", ".tiff")
-SNAPSHOT_VERSION = 3
+SNAPSHOT_VERSION = 4
 
 
 class CatalogError(ValueError):
@@ -131,7 +132,8 @@ def locate_times(wanted: DataFrame, file_times: DataFrame, time: str = "t") -> D
 
 def save_snapshot(path: str, files: DataFrame, meta: dict) -> None:
     """Write the catalogue of a driver-sized listing as JSON."""
-    rows = [r.asDict() | {"mtime": r["mtime"].isoformat()} for r in files.toLocalIterator()]
+    stamped = files.withColumn("mtime", F.unix_micros("mtime"))  # the instant, whatever the session's zone
+    rows = [r.asDict() for r in stamped.toLocalIterator()]
     with open(path, "w", encoding="utf-8") as out:
         json.dump({"version": SNAPSHOT_VERSION, "meta": meta, "files": rows}, out, indent=1)
 
@@ -142,6 +144,8 @@ def load_snapshot(spark: SparkSession, path: str, validate: bool = True) -> tupl
         data = json.load(source)
     if data.get("version", 0) < (SNAPSHOT_VERSION if validate else 2):
         raise CatalogError("the snapshot is too old; inspect the source again")
-    rows = [(r["path"], r["size"], r["mtime"], PurePosixPath(r["path"]).suffix.lower()) for r in data["files"]]
-    frame = spark.createDataFrame(rows, "path string, size long, mtime string, suffix string").withColumn("mtime", F.col("mtime").cast("timestamp"))
+    # versions up to 3 hold the times as text without a zone
+    micros = lambda at: at if isinstance(at, int) else round(datetime.fromisoformat(at).timestamp() * 1_000_000)
+    rows = [(r["path"], r["size"], micros(r["mtime"]), PurePosixPath(r["path"]).suffix.lower()) for r in data["files"]]
+    frame = spark.createDataFrame(rows, "path string, size long, mtime long, suffix string").withColumn("mtime", F.timestamp_micros("mtime"))
     return frame, data["meta"]

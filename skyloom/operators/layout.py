@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MIB = 1 << 20
 MIN_MIB, DEFAULT_MIB, MAX_MIB = 32.0, 128.0, 256.0
@@ -24,17 +27,16 @@ class LayoutError(ValueError):
 
 def target_mib(wanted: float = DEFAULT_MIB, available_mib: float | None = None, workers: int = 1) -> float:
     """Chunk size within limits, at most a tenth of the memory of a worker."""
-    if not (math.isfinite(wanted) and wanted > 0):
+    share = math.inf if available_mib is None else available_mib / (10 * max(workers, 1))
+    if not 0 < wanted < math.inf:
         raise LayoutError("the target size is a positive number")
-    if available_mib is not None:
-        wanted = min(wanted, available_mib / 10 / max(1, workers))
-    return min(max(wanted, MIN_MIB), MAX_MIB)
+    return sorted((MIN_MIB, min(wanted, share), MAX_MIB))[1]
 
 
-def _step(value: float, length: int, multiple: int) -> int:
-    """Whole size up to the length; from two multiples on a multiple."""
-    size = min(length, max(1, int(value)))
-    return size if size < 2 * multiple else size - size % multiple
+def tile_sizes(length: int, multiple: int) -> np.ndarray:
+    """Sizes a chunk may have along a dimension: all below two multiples, multiples beyond, and the whole."""
+    sizes = np.arange(1, length + 1)
+    return sizes[(sizes < 2 * multiple) | (sizes % multiple == 0) | (sizes == length)]
 
 
 @dataclass(frozen=True)
@@ -53,29 +55,48 @@ class ChunkPlan:
         return math.prod(self.chunks) * item_size
 
 
+def _custom(shape: Sequence[int], cells: float, custom: Sequence[int] | None) -> tuple[int, int, int]:
+    """Sizes as given."""
+    given = np.array(custom if custom is not None else [], object)
+    whole = [c for c in given if isinstance(c, (int, np.integer)) and not isinstance(c, bool)]
+    if len(whole) != 3 or len(given) != 3 or any(not 0 < c <= n for c, n in zip(whole, shape, strict=True)):
+        raise LayoutError("custom chunks are three whole numbers within the shape")
+    return tuple(map(int, whole))
+
+
+def _maps(shape: Sequence[int], cells: float, custom: Sequence[int] | None) -> tuple[int, int, int]:
+    """Whole maps: the longest stretch of time that fits."""
+    nt, ny, nx = shape
+    times = tile_sizes(nt, 4)
+    return int(times[times * ny * nx <= cells].max(initial=1)), ny, nx
+
+
+def _series(shape: Sequence[int], cells: float, custom: Sequence[int] | None) -> tuple[int, int, int]:
+    """Whole series: of all tiles that fit, the fullest whose sides are in the map's proportion.
+
+    The cost of a tile adds what it leaves empty and how far it departs from the
+    map's shape, both as logarithms.
+    """
+    nt, ny, nx = shape
+    heights, widths = tile_sizes(ny, 16), tile_sizes(nx, 16)
+    area = heights[:, None] * widths[None, :].astype(float)
+    empty = np.log(max(cells / nt, 1.0) / area)
+    skew = np.abs(np.log((heights[:, None] / ny) / (widths[None, :] / nx)))
+    cost = np.where(empty >= 0, empty + skew, np.inf)
+    i, j = np.unravel_index(np.argmin(cost), cost.shape)
+    return nt, int(heights[i]), int(widths[j])
+
+
+STRATEGIES = {"time": _series, "space": _maps, "custom": _custom}
+
+
 def plan_chunks(shape: tuple[int, int, int], item_size: int, strategy: str, *, mib: float = DEFAULT_MIB, custom: Sequence[int] | None = None) -> ChunkPlan:
-    """Whole time and square-ish tiles, whole maps and stretches of time, or sizes as given."""
-    if min(shape) < 1:
+    """Chunk shape of a cube: whole series of tiles, whole maps, or sizes as given."""
+    if strategy not in STRATEGIES:
+        raise LayoutError(f"strategy is one of {', '.join(STRATEGIES)}")
+    if 0 in shape or min(shape) < 0:
         raise LayoutError("every dimension has cells")
-    nt, ny, nx = shape
-    budget = target_mib(mib) * MIB
-    if strategy == "custom":
-        sizes = tuple(custom or ())
-        if len(sizes) != 3 or any(isinstance(c, bool) or c != int(c) or not 1 <= c <= n for c, n in zip(sizes, shape, strict=False)):
-            raise LayoutError("custom chunks are three whole numbers within the shape")
-        return ChunkPlan(strategy, tuple(int(c) for c in sizes))
-    if strategy == "space":
-        return ChunkPlan(strategy, (_step(budget / (ny * nx * item_size), nt, 4), ny, nx))
-    if strategy != "time":
-        raise LayoutError("strategy is time, space or custom")
-    area = max(1.0, budget / (nt * item_size))
-    height = math.sqrt(area * ny / nx)
-    cy, cx = _step(height, ny, 16), _step(max(1.0, area / max(height, 1.0)), nx, 16)
-    if cy == ny and cx < nx:  # one side is whole: the other takes what is left
-        cx = _step(area / ny, nx, 16)
-    elif cx == nx and cy < ny:
-        cy = _step(area / nx, ny, 16)
-    return ChunkPlan(strategy, (nt, cy, cx))
+    return ChunkPlan(strategy, STRATEGIES[strategy](shape, target_mib(mib) * MIB / item_size, custom))
 
 
 def regridded_chunks(source: Sequence[int], shape: Sequence[int]) -> tuple[int, ...]:
@@ -103,23 +124,27 @@ def chunk_keys(plan: ChunkPlan, t: str = "ti") -> list[Column]:
 def pack(cells: DataFrame, plan: ChunkPlan, shape: tuple[int, int, int], value: str = "v", t: str = "ti") -> DataFrame:
     """Chunks ``ct, cy, cx, shape, data``; absent cells are NULL entries.
 
-    Each chunk is gathered by its one owner; its size is the plan's bound.
+    Each chunk is gathered by its one owner, whose size the plan bounds, and its
+    values are laid into one array by their places.
     """
-    ct, cy, cx = plan.chunks
-    keyed = cells.select("*", *chunk_keys(plan, t))
-    size = [F.least(F.lit(c), F.lit(n) - F.col(k) * c).alias(k) for c, n, k in zip(plan.chunks, shape, ("ct", "cy", "cx"), strict=True)]
-    place = (F.col(t) - F.col("ct") * ct) * size[1] * size[2] + (F.col("y") - F.col("cy") * cy) * size[2] + (F.col("x") - F.col("cx") * cx)
-    rows = keyed.groupBy("ct", "cy", "cx").agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int"), F.col(value)))).alias("x_at"))
-    whole = rows.select("ct", "cy", "cx", F.array(*size).alias("shape"), "x_at")
-    n = F.aggregate("shape", F.lit(1), lambda a, b: a * b)
-    return whole.select("ct", "cy", "cx", "shape", _dense(F.col("x_at"), n).alias("data"))
-
-
-def _dense(at: Column, n: Column) -> Column:
-    """Array of a position map: entries sorted by place, gaps filled with NULL."""
-    entries = F.array_sort(F.map_entries(at))
-    full = F.size(entries) == n
-    return F.when(full, F.transform(entries, lambda e: e["value"])).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.try_element_at(at, i)))
+    keyed = cells.select(*chunk_keys(plan, t), t, "y", "x", value)
+    kind = to_arrow_type(keyed.schema[value].dataType)
+    schema = StructType([*keyed.schema.fields[:3], StructField("shape", ArrayType(IntegerType())), StructField("data", ArrayType(keyed.schema[value].dataType))])
+
+    def lay(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        index = [k.as_py() for k in key]
+        size = [min(c, n - k * c) for k, c, n in zip(index, plan.chunks, shape, strict=True)]
+        place = np.zeros(table.num_rows, np.int64)
+        for name, k, c, n in zip((t, "y", "x"), index, plan.chunks, size, strict=True):
+            place = place * n + (table.column(name).to_numpy() - k * c)
+        source = np.full(math.prod(size), -1, np.int64)  # which cell is at a place
+        source[place] = np.arange(table.num_rows)
+        data = table.column(value).combine_chunks().take(pa.array(source, mask=source < 0))
+        row = pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()), data.cast(kind))
+        keys = [pa.array([k], pa.int32()) for k in index]
+        return pa.table([*keys, pa.array([size], pa.list_(pa.int32())), row], names=["ct", "cy", "cx", "shape", "data"])
+
+    return keyed.groupBy("ct", "cy", "cx").applyInArrow(lay, schema)
 
 
 def unpack(chunks: DataFrame, plan: ChunkPlan, value: str = "v", t: str = "ti") -> DataFrame:
@@ -160,30 +185,35 @@ HIGHER = ("write", "durable", "read")
 
 @dataclass(frozen=True)
 class Codec:
-    """Lossless codec, its level and byte shuffle."""
+    """Lossless codec, its level and byte shuffle; one that does not exist cannot be made."""
 
     name: str
     level: int | None = None
     shuffle: str = "auto"
 
+    def __post_init__(self) -> None:
+        low, high = CODEC_LEVELS.get(self.name, (0, -1))
+        levels = {None} if self.name == "none" else set(range(low, high + 1))
+        shuffles = {"auto", "noshuffle"} | ({"shuffle", "bitshuffle"} if self.name.startswith("blosc-") else set())
+        if self.level not in levels or self.shuffle not in shuffles:
+            raise LayoutError(f"there is no {self} (levels {CODEC_LEVELS.get(self.name, 'none')}, shuffles {sorted(shuffles)})")
+
+
+#: The codec of each profile, under all its names.
+PROFILES = {name: Codec("none") if level is None else Codec("blosc-zstd", level) for name, level in PROFILE_LEVELS.items()}
+PROFILES |= {"speed": PROFILES["fast"], "compact": PROFILES["maximum"]}
+
 
 def choose_codec(profile: str = "balanced", codec: str | None = None, level: int | None = None, shuffle: str = "auto") -> Codec:
-    """Check a profile or an explicit codec."""
-    profile = {"speed": "fast", "compact": "maximum"}.get(profile, profile)
-    if profile not in PROFILE_LEVELS:
-        raise LayoutError(f"profile is one of {', '.join(PROFILE_LEVELS)}")
-    name = codec or ("none" if profile == "none" else "blosc-zstd")
-    if name == "none":
+    """The profile's codec with what is given explicitly in its place."""
+    try:
+        base = PROFILES[profile]
+    except KeyError:
+        raise LayoutError(f"profile is one of {', '.join(PROFILES)}") from None
+    changes = {k: v for k, v in {"name": codec, "level": level, "shuffle": shuffle}.items() if v is not None}
+    if changes.get("name", base.name) == "none":
         return Codec("none")
-    if name not in CODEC_LEVELS or shuffle not in ("auto", "noshuffle", "shuffle", "bitshuffle"):
-        raise LayoutError(f"no codec {name} with shuffle {shuffle}")
-    if not name.startswith("blosc") and shuffle not in ("auto", "noshuffle"):
-        raise LayoutError(f"{name} does not shuffle")
-    chosen = level if level is not None else PROFILE_LEVELS[profile] or 1
-    low, high = CODEC_LEVELS[name]
-    if not low <= chosen <= high:
-        raise LayoutError(f"levels of {name} lie within {low} .. {high}")
-    return Codec(name, int(chosen), shuffle)
+    return replace(base if base.level is not None else Codec("blosc-zstd", 1), **changes)
 
 
 def automatic_shuffle(dtype: str) -> str:
@@ -196,14 +226,15 @@ def automatic_shuffle(dtype: str) -> str:
     return "shuffle" if kind.kind in "fc" else "bitshuffle"
 
 
+#: What is tried, most promising first: codec and level; those of the first family once with every shuffle the types ask for.
+TRIALS = (("blosc-zstd", 1), ("blosc-zstd", 4), ("blosc-lz4", 1), ("zstd", 1), ("blosc-zstd", 9))
+
+
 def candidate_codecs(dtypes: Sequence[str], explicit: Codec | None = None, limit: int = 8) -> list[Codec]:
     """Codecs worth measuring; an explicit one is the only candidate."""
-    if explicit is not None:
-        return [explicit]
-    shuffles = sorted({automatic_shuffle(d) for d in dtypes})
-    out = [Codec("blosc-zstd", level, s) for level in (1, 4) for s in shuffles]
-    out += [Codec("blosc-lz4", 1, s) for s in shuffles] + [Codec("zstd", 1, "noshuffle"), Codec("blosc-zstd", 9, shuffles[0])]
-    return list(dict.fromkeys(out))[:limit]
+    wanted = sorted({automatic_shuffle(d) for d in dtypes}) or ["noshuffle"]
+    every = {Codec(name, level, s if name.startswith("blosc-") else "noshuffle"): None for name, level in TRIALS for s in wanted}
+    return [explicit] if explicit is not None else list(every)[:limit]
 
 
 def parquet_options(codec: Codec) -> dict[str, str]:
@@ -249,8 +280,3 @@ def first_common(rows: DataFrame, value: str, order: str) -> DataFrame:
     """The most common value; of several, the one seen first."""
     counts = rows.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("x_first"))
     return counts.orderBy(F.col("n").desc(), "x_first").limit(1).drop("x_first")
-
-
-def runs_of(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Positions of each row within its key, in order."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)

@@ -175,4 +175,4 @@ def regrid(cells: DataFrame, source: tuple[Axis, Axis], target: tuple[Axis, Axis
     grid = spark.range(len(target[0]) * len(target[1])).select((F.col("id") / len(target[1])).cast("int").alias("y"), (F.col("id") % len(target[1])).cast("int").alias("x"))
     rest = grid.where(F.col("y").isin(bare_y) | F.col("x").isin(bare_x))
     times = cells.select(time).distinct()
-    return found.unionByName(times.crossJoin(F.broadcast(rest)).select(time, "y", "x", F.lit(None).cast("double").alias("value")))
+    return found.unionByName(rest.crossJoin(F.broadcast(times) if times.count() <= BROADCAST_ROWS else times).select(time, "y", "x", F.lit(None).cast("double").alias("value")))

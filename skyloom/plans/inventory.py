@@ -110,7 +110,7 @@ def _axis_values(path: str, info: dict, dim: str) -> np.ndarray | None:
 def completed(cells: DataFrame, inventory: Inventory) -> DataFrame:
     """Cells of all expected dates: a missing date is a map of missing cells."""
     calendar = inventory.times.select("t").unionByName(timeaxis.calendar_frame(cells.sparkSession, inventory.missing)) if inventory.missing else inventory.times.select("t")
-    grid = calendar.crossJoin(F.broadcast(cells.select("y", "x").distinct()))
+    grid = cells.select("y", "x").distinct().crossJoin(F.broadcast(calendar))  # a row for each date of the inventory, which the driver holds
     return grid.join(cells, ["t", "y", "x"], "left")
 
 

@@ -164,7 +164,7 @@ def resampled(rows: DataFrame, plan: Plan) -> DataFrame:
     grid = [rows.select("t").distinct(), *(spark.range(len(a)).select(F.col("id").cast("int").alias(d)) for a, d in zip(source, ("y", "x"), strict=True))]
     dense = densify(rows, grid)
     if plan.before:
-        known = rules.statistics(dense, "v") if rules.needs_statistics(plan.before) else None
+        known = rules.statistics(dense, "v", rules.needs_statistics(plan.before)) if rules.needs_statistics(plan.before) else None
         dense = dense.withColumn("v", rules.apply_rules(F.col("v"), dense.schema["v"].dataType, plan.before, known))
     out = regrid.regrid(dense, source, plan.target, config.method, skipna=config.skipna, na_thres=config.na_thres, sphere=config.sphere)
     out = out.withColumnRenamed("value", "v")
@@ -182,7 +182,7 @@ def product(cells: DataFrame, plan: Plan, barrier: str | None = None) -> DataFra
             if barrier is not None:
                 rows.write.mode("overwrite").parquet(barrier)
                 rows = cells.sparkSession.read.parquet(barrier)
-            rows = rows.withColumn("v", rules.apply_rules(F.col("v"), T.DoubleType(), plan.after, rules.statistics(rows, "v")))
+            rows = rows.withColumn("v", rules.apply_rules(F.col("v"), T.DoubleType(), plan.after, rules.statistics(rows, "v", rules.needs_statistics(plan.after))))
     return rows.withColumn("v", F.col("v").cast(transforms.SPARK_TYPES[plan.config.dtype]))
 
 
@@ -239,7 +239,8 @@ def run(cells: DataFrame, lat: Sequence[float], lon: Sequence[float], config: Co
     """
     if group:
         cells.sparkSession.sparkContext.setJobGroup(group, "skyloom pipeline", interruptOnCancel=True)
-    times = cells.select("t").distinct().count()
+    inside = cells.where(select.time_window(*config.time)) if config.time else cells
+    times = inside.select("t").distinct().count()
     plan = build_plan(lat, lon, times, config)
     check_capacity(Path(target).parent, axes.logical_bytes(plan.shape, [8]))
     job = Job.create(Path(temporary), as_config(config))
@@ -267,7 +268,7 @@ def resume(spark, lat: Sequence[float], lon: Sequence[float], target: str, tempo
     config = Config(**settings)
     rows = spark.read.parquet(found.path)
     plan = build_plan(lat, lon, rows.select("t").distinct().count(), config)
-    rows = rows.withColumn("v", rules.apply_rules(F.col("v"), T.DoubleType(), plan.after, rules.statistics(rows, "v")))
+    rows = rows.withColumn("v", rules.apply_rules(F.col("v"), T.DoubleType(), plan.after, rules.statistics(rows, "v", rules.needs_statistics(plan.after))))
     rows = with_time_index(rows.withColumn("v", F.col("v").cast(transforms.SPARK_TYPES[config.dtype])))
     written = write_product(rows, target, plan.chunks, plan.codec, {"decisions": plan.decisions}, overwrite)
     mark_recovered(found, cleanup=True)

@@ -88,12 +88,12 @@ def _(spark, d):
     return C.event_cube(spark, d).where(select.time_window("2024-01", "2024-01") & select.cell_window((0, 1)))
 
 
-@query("variable_select", "SELECT CAST(l_shipdate AS DATE) AS t, l_quantity, l_discount AS rebate FROM lineitem WHERE l_linenumber = 1", "t")
+@query("variable_select", "SELECT CAST(l_shipdate AS DATE) AS t, l_quantity, l_discount AS rebate FROM lineitem", "t")
 def _(spark, d):
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
     names = select.choose_variables(lines.columns, ["l_quantity", "l_discount", "l_quantity"])
     renames = select.check_renames({"l_discount": "rebate"})
-    return lines.where("l_linenumber = 1").select(F.to_date("l_shipdate").alias("t"), *names).withColumnsRenamed(renames)
+    return lines.select(F.to_date("l_shipdate").alias("t"), *names).withColumnsRenamed(renames)
 
 
 @query("fill_scale", f"WITH {CUBE} SELECT t, y, x, CASE WHEN v IN (2000, 3500) THEN NULL ELSE CAST(v AS DOUBLE) * CAST(0.01 AS DOUBLE) END AS value FROM cube", "t")
@@ -188,12 +188,21 @@ def _(spark, d):
 
 # --- time axes -----------------------------------------------------------------------------
 
-DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS t FROM orders WHERE o_orderkey % 97 < 3)"
+DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS t FROM orders)"
 
 
 def _order_days(spark: SparkSession, d: str) -> DataFrame:
-    orders = spark.read.parquet(f"{d}/orders.parquet")
-    return orders.where("o_orderkey % 97 < 3").select(F.to_date("o_orderdate").alias("t")).distinct()
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.to_date("o_orderdate").alias("t")).distinct()
+
+
+#: Every order's day as the first day of its eight-day composite, which restarts every year.
+EIGHT_DAYS = "days AS (SELECT DISTINCT CAST(make_date(CAST(year(o_orderdate) AS INTEGER), 1, 1) + CAST((dayofyear(o_orderdate) - 1) // 8 * 8 AS INTEGER) AS DATE) AS t FROM orders)"
+
+
+def _eight_days(spark: SparkSession, d: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    start = F.date_add(F.make_date(F.year(day), F.lit(1), F.lit(1)), (F.floor((F.dayofyear(day) - 1) / 8) * 8).cast("int"))
+    return spark.read.parquet(f"{d}/orders.parquet").select(start.alias("t"))
 
 
 @query("calendar_gaps", f"WITH {DAYS}, cal AS (SELECT CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM days) SELECT cal.t, days.t IS NULL AS missing FROM cal LEFT JOIN days USING (t)", "t")
@@ -256,21 +265,19 @@ def _(spark, d):
     return rows.withColumn("t", timeaxis.decoded_time(F.col("event_id") % 9000, "days since 2000-01-01"))
 
 
-@query("annual_steps", "WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS t FROM orders WHERE dayofyear(o_orderdate) % 8 = 1) SELECT CAST(year(t) AS INTEGER) AS year, CAST(min(dayofyear(t)) AS INTEGER) AS first_doy, CAST(max(dayofyear(t)) AS INTEGER) AS last_doy, CAST(count(*) AS INTEGER) AS n, 8 AS step FROM days GROUP BY 1")
+@query("annual_steps", f"WITH {EIGHT_DAYS} SELECT CAST(year(t) AS INTEGER) AS year, CAST(min(dayofyear(t)) AS INTEGER) AS first_doy, CAST(max(dayofyear(t)) AS INTEGER) AS last_doy, CAST(count(*) AS INTEGER) AS n, 8 AS step FROM days GROUP BY 1")
 def _(spark, d):
-    days = spark.read.parquet(f"{d}/orders.parquet").where(F.dayofyear("o_orderdate") % 8 == 1).select(F.to_date("o_orderdate").alias("t"))
-    return timeaxis.annual_steps(days)
+    return timeaxis.annual_steps(_eight_days(spark, d))
 
 
-@query("annual_calendar", "WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS t FROM orders WHERE dayofyear(o_orderdate) % 8 = 1), y AS (SELECT year(t) AS y, min(dayofyear(t)) AS a, max(dayofyear(t)) AS b FROM days GROUP BY 1), s AS (SELECT min(y) AS y0, max(y) AS y1 FROM y), e AS (SELECT y, a, CASE WHEN y IN (y0, y1) THEN b ELSE dayofyear(make_date(y, 12, 31)) END AS b FROM y, s) SELECT CAST(make_date(y, 1, 1) + CAST(unnest(generate_series(a, b, 8)) - 1 AS INTEGER) AS DATE) AS t FROM e", "t")
+@query("annual_calendar", f"WITH {EIGHT_DAYS}, y AS (SELECT year(t) AS y, min(dayofyear(t)) AS a, max(dayofyear(t)) AS b FROM days GROUP BY 1), s AS (SELECT min(y) AS y0, max(y) AS y1 FROM y), e AS (SELECT y, a, CASE WHEN y IN (y0, y1) THEN b ELSE dayofyear(make_date(y, 12, 31)) END AS b FROM y, s) SELECT CAST(make_date(y, 1, 1) + CAST(unnest(generate_series(a, b, 8)) - 1 AS INTEGER) AS DATE) AS t FROM e", "t")
 def _(spark, d):
-    days = spark.read.parquet(f"{d}/orders.parquet").where(F.dayofyear("o_orderdate") % 8 == 1).select(F.to_date("o_orderdate").alias("t"))
-    return timeaxis.annual_calendar(days)
+    return timeaxis.annual_calendar(_eight_days(spark, d))
 
 
-@query("duplicate_times", "SELECT CAST(ts AS DATE) AS t, count(*) AS n, list_sort(list(CAST(event_id AS VARCHAR))) AS paths FROM events WHERE event_type = 'click' AND event_id % 5 = 0 GROUP BY 1 HAVING count(*) > 1", "t")
+@query("duplicate_times", "SELECT CAST(ts AS DATE) AS t, count(*) AS n, list_sort(list(CAST(event_id AS VARCHAR))) AS paths FROM events GROUP BY 1 HAVING count(*) > 1", "t")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'click' and event_id % 5 = 0").select(F.to_date("ts").alias("t"), F.col("event_id").cast("string").alias("path"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").alias("t"), F.col("event_id").cast("string").alias("path"))
     return timeaxis.duplicate_dates(rows)
 
 
@@ -499,10 +506,10 @@ def _(spark, d):
     return corner.select("n_nationkey", F.get("c", F.lit(0)).alias("west"), F.get("c", F.lit(1)).alias("north"))
 
 
-@query("even_pick", f"WITH {CUBE}, r AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS p FROM (SELECT DISTINCT t FROM cube)) SELECT t FROM r WHERE p IN (0, 7, 14, 22, 29)", "t")
+@query("even_pick", f"WITH {CUBE}, r AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS p FROM (SELECT DISTINCT t FROM cube)) SELECT t FROM r, (SELECT count(*) AS n FROM r) WHERE p IN (SELECT CAST(round_even(k * (n - 1) / 4.0, 0) AS BIGINT) FROM generate_series(0, 4) g(k))", "t")
 def _(spark, d):
     times = C.event_cube(spark, d).select("t").distinct().withColumn("p", F.row_number().over(Window.orderBy("t")) - 1)
-    return times.where(F.col("p").isin(*[p for p in axes.spread_positions(30, 5)])).select("t")
+    return times.where(F.col("p").isin(*[p for p in axes.spread_positions(times.count(), 5)])).select("t")
 
 
 @query("newest_manifest", "SELECT user_id, arg_max(event_id, struct_pack(ts := ts, e := event_id)) AS event_id FROM events GROUP BY 1")

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-CHUNK_SCHEMA = "var string, ct int, cy int, cx int, shape array<int>, data array<double>"
-CHUNK_ARROW = pa.schema([("var", pa.string()), ("ct", pa.int32()), ("cy", pa.int32()), ("cx", pa.int32()), ("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float64()))])
+CHUNK_SCHEMA = "var string, ct int, cy int, cx int, shape array<int>, data array<{}>"
+CHUNK_ARROW = [("var", pa.string()), ("ct", pa.int32()), ("cy", pa.int32()), ("cx", pa.int32()), ("shape", pa.list_(pa.int32()))]
 
 
 class StoreError(ValueError):
@@ -227,15 +227,27 @@ class ChunkGroup(InputPartition):
     members: list[tuple[str, tuple[int, ...]]]
 
 
+def _wanted(options: dict) -> dict[str, ArrayInfo]:
+    """The arrays that the options name, or all."""
+    arrays = data_arrays(read_arrays(options["path"])[0])
+    wanted = [v for v in options.get("variables", "").split(",") if v] or list(arrays)
+    if unknown := sorted(set(wanted) - set(arrays)):
+        raise StoreError(f"unknown variables: {', '.join(unknown)}")
+    return {v: arrays[v] for v in dict.fromkeys(wanted)}
+
+
+def value_type(arrays: dict[str, ArrayInfo]) -> tuple[str, pa.DataType]:
+    """Type of the values of chunk rows: whole numbers stay whole unless floats or unsigned 64-bit numbers stand among them."""
+    kinds = [np.dtype(info.dtype) for info in arrays.values()]
+    whole = kinds and all(k.kind in "ib" or k.kind == "u" and k.itemsize < 8 for k in kinds)
+    return ("bigint", pa.int64()) if whole else ("double", pa.float64())
+
+
 class _ChunkReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.group = int(options.get("chunksPerTask", 8))
-        arrays = data_arrays(read_arrays(self.path)[0])
-        wanted = [v for v in options.get("variables", "").split(",") if v] or list(arrays)
-        if unknown := sorted(set(wanted) - set(arrays)):
-            raise StoreError(f"unknown variables: {', '.join(unknown)}")
-        self.arrays = {v: arrays[v] for v in dict.fromkeys(wanted)}
+        self.arrays = _wanted(options)
         self.windows = {d: tuple(map(int, options[d].split(":"))) for d in ("time", "lat", "lon") if d in options}
 
     def _inside(self, info: ArrayInfo, index: Sequence[int]) -> bool:
@@ -252,18 +264,20 @@ class _ChunkReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(self.path)
+        kind = value_type(self.arrays)[1]
+        schema = pa.schema([*CHUNK_ARROW, ("data", pa.list_(kind))])
         for name, index in partition.members:
             info = self.arrays[name]
             size = [min(c, n - i * c) for i, c, n in zip(index, info.chunks, info.shape, strict=True)]
-            values = decode_chunk(_read(fs, f"{root}/{info.key(index)}"), info)[tuple(slice(0, s) for s in size)].astype(np.float64)
+            values = decode_chunk(_read(fs, f"{root}/{info.key(index)}"), info)[tuple(slice(0, s) for s in size)].astype(kind.to_pandas_dtype())
             axes = [info.dims.index(d) for d in ("time", "lat", "lon")]
             values = values.transpose(axes)
-            flat = pa.array(values.ravel(), pa.float64(), from_pandas=True)  # NaN arrives as NULL
+            flat = pa.array(values.ravel(), kind, from_pandas=True)  # NaN arrives as NULL
             key = [int(index[a]) for a in axes]
             columns = [[name], *[[k] for k in key], [list(values.shape)]]
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, CHUNK_ARROW, strict=False)]
+            arrays = [pa.array(c, t) for c, (_, t) in zip(columns, CHUNK_ARROW, strict=True)]
             data = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*arrays, data], schema=CHUNK_ARROW)
+            yield pa.RecordBatch.from_arrays([*arrays, data], schema=schema)
 
 
 class ZarrSource(DataSource):
@@ -278,7 +292,7 @@ class ZarrSource(DataSource):
         return "zarr3"
 
     def schema(self) -> str:
-        return CHUNK_SCHEMA
+        return CHUNK_SCHEMA.format(value_type(_wanted(dict(self.options)))[0])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _ChunkReader(dict(self.options))
@@ -291,13 +305,19 @@ def read_chunks(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, path: str, variable: str) -> DataFrame:
-    """Cells ``ti, y, x, v`` of a variable, missing ones as NULL."""
+    """Cells ``ti, y, x, v`` of a variable, missing ones as NULL.
+
+    Missing are NaN and what the attributes ``_FillValue`` and ``missing_value`` name.
+    The array's own fill value only stands for chunks that were never written: the
+    default 0 of whole numbers is a value like any other.
+    """
     info = data_arrays(read_arrays(path)[0])[variable]
     ct, cy, cx = (info.chunks[info.dims.index(d)] for d in ("time", "lat", "lon"))
     rows = read_chunks(spark, path, variables=variable).select("ct", "cy", "cx", "shape", F.posexplode("data").alias("i", "v"))
     ny, nx = F.get("shape", F.lit(1)), F.get("shape", F.lit(2))
-    missing = [m for m in (info.fill, info.attrs.get("_FillValue"), info.attrs.get("missing_value")) if m is not None and not (isinstance(m, float) and math.isnan(m))]
-    value = F.when(~F.col("v").isin(*map(float, missing)), F.col("v")) if missing else F.col("v")
+    number = int if value_type({variable: info})[0] == "bigint" else float
+    missing = [number(m) for m in (info.attrs.get("_FillValue"), info.attrs.get("missing_value")) if isinstance(m, (int, float)) and not math.isnan(m)]
+    value = F.when(~F.col("v").isin(*missing), F.col("v")) if missing else F.col("v")
     return rows.select(
         (F.col("ct") * ct + F.floor(F.col("i") / (ny * nx))).cast("int").alias("ti"),
         (F.col("cy") * cy + F.floor(F.col("i") / nx) % ny).cast("int").alias("y"),
@@ -366,6 +386,8 @@ def write_chunks(chunk_rows: DataFrame, path: str) -> int:
                 info = arrays[var.as_py()]
                 kind = np.dtype(info.dtype)
                 marker = info.fill if info.fill is not None else (math.nan if kind.kind == "f" else 0)
+                if data.values.null_count and info.fill in (None, 0) and kind.kind != "f":
+                    raise StoreError(f"{var.as_py()} has missing cells but no fill value that marks them")
                 values = data.values.fill_null(marker).to_numpy(zero_copy_only=False).reshape(shape.as_py())
                 whole = np.full(info.chunks, marker, kind)
                 whole[tuple(slice(0, n) for n in values.shape)] = values

@@ -200,3 +200,43 @@ def test_followed_folder(spark, tmp_path):
     run()
     got = {r.x: r.v for r in incremental.merged(spark, str(tmp_path / "out"), ["x"], "v").collect()}
     assert len(got) == 10 and got[3] == 2.0 and got[4] == 1.0
+
+
+def test_zarr_keeps_zeros_and_wide_integers(spark, tmp_path):
+    """Zeros are values, integers beyond 2**53 keep their digits, marked cells are missing."""
+    import numpy as np
+
+    from skyloom.operators import layout
+    from skyloom.sources import zarr
+
+    path, big = str(tmp_path / "store"), (1 << 53) + 1
+    axes = {"time": np.arange(1), "lat": np.array([2.0, 1.0]), "lon": np.array([0.0, 1.0])}
+    codecs = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": 1}}]
+    zarr.create_store(path, axes, {"whole": ("int64", None, {}), "marked": ("int32", -9.0, {"_FillValue": -9}), "real": ("float32", None, {})}, (1, 2, 2), codecs)
+    plan = layout.plan_chunks((1, 2, 2), 8, "custom", custom=(1, 2, 2))
+    cells = lambda v, kind: spark.createDataFrame([(0, i // 2, i % 2, x) for i, x in enumerate(v)], f"ti int, y int, x int, v {kind}")
+    for name, values, kind in (("whole", [0, 5, big, -big], "long"), ("marked", [0, None, 7, 9], "long"), ("real", [0.0, None, 7.5, 9.0], "double")):
+        zarr.write_chunks(layout.pack(cells(values, kind), plan, (1, 2, 2)).selectExpr(f"'{name}' as var", "*"), path)
+        back = {(r.y, r.x): r.v for r in zarr.read_cells(spark, path, name).collect()}
+        assert [back[i // 2, i % 2] for i in range(4)] == values
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from skyloom.functions import timeaxis
+
+    rows = spark.createDataFrame([(k,) for k in (0, 1, 150, 200)], "n int")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            days = [str(r.t) for r in rows.select("n", timeaxis.decoded_time(F.col("n"), "days since 2001-07-01").alias("t")).orderBy("n").collect()]
+            assert days == ["2001-07-01", "2001-07-02", "2001-11-28", "2002-01-17"]
+            hours = [str(r.t) for r in rows.select("n", timeaxis.decoded_time(F.col("n"), "hours since 2001-07-01 23:30:00").alias("t")).orderBy("n").collect()]
+            assert hours == ["2001-07-01", "2001-07-02", "2001-07-08", "2001-07-10"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    for units, calendar in (("months since 2001-01-01", "standard"), ("days since 2001-01-01", "360_day"), ("days", "standard")):
+        with pytest.raises(timeaxis.TimeAxisError):
+            timeaxis.decoded_time(F.col("n"), units, calendar)
