@@ -122,7 +122,7 @@ def repeated_spans(
     text_col: str = "text",
     width: int = 200,
     hot: int = 1500,
-    shard_bytes: int = 1 << 20,
+    shard_bytes: int = 3 << 19,
     piece_bytes: int = 1 << 19,
 ) -> DataFrame:
     """``x_rid binary, x_spans array<struct<x_from,x_to>>``: byte ranges, not yet merged.
