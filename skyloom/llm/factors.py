@@ -240,3 +240,17 @@ def digest(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id",
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all ``documents`` without words of 50-word windows seen in earlier documents."""
     return digest(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every window as text, so that nothing rests on a hash.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, p, p AS hit FROM g JOIN f USING (s) WHERE doc_id > least),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+covered AS (SELECT doc_id, p, word, coalesce(p - max(hit) OVER (PARTITION BY doc_id ORDER BY p) < 50, FALSE) AS gone FROM words LEFT JOIN hits USING (doc_id, p)),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS s FROM covered GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -28,6 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     return {
+        "op1_suffix_array_dedup": substrings.OP1_SQL,
         "op3_chat_formatting": chat.OP3_SQL,
+        "op8_substring_dedup": factors.OP8_SQL,
         "op9_benchmark_decontamination": decontaminate.OP9_SQL,
     }

@@ -232,3 +232,18 @@ def digest(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id",
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all ``documents`` without their repeated 200-byte strings."""
     return digest(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Bytes as hexadecimal digits; pieces of 500 starts, each with the 199 bytes that follow, keep the slices short.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+pieces AS (SELECT doc_id, k * 500 AS b, substr(h, k * 1000 + 1, 1398) AS h FROM (SELECT doc_id, h, unnest(generate_series(0, CAST(length(h) AS BIGINT) // 1000)) AS k FROM d)),
+bytes AS (SELECT doc_id, b + i AS p, h[2 * i + 1 : 2 * i + 2] AS byte, CASE WHEN length(h) >= 2 * i + 400 THEN md5(h[2 * i + 1 : 2 * i + 400]) END AS s
+          FROM (SELECT doc_id, b, h, unnest(generate_series(0, least(length(h) // 2, 500) - 1)) AS i FROM pieces WHERE h <> '')),
+f AS (SELECT s FROM bytes WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+covered AS (SELECT doc_id, p, byte, coalesce(p - max(CASE WHEN f.s IS NOT NULL THEN p END) OVER (PARTITION BY doc_id ORDER BY p) < 200, FALSE) AS gone FROM bytes LEFT JOIN f USING (s)),
+spans AS (SELECT *, gone AND NOT lag(gone, 1, FALSE) OVER (PARTITION BY doc_id ORDER BY p) AS opens FROM covered),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS h FROM spans GROUP BY 1)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

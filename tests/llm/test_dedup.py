@@ -260,3 +260,16 @@ def test_spans_of_many_hits(spark):
     (one,) = decontaminate.find_contamination(spark, documents(spark, [text]), bench).collect()
     assert one.n_hit == 18_000 and len(one.spans) == 9000
     assert [tuple(s) for s in one.spans[:4]] == [(1, 3), (5, 5), (7, 8), (10, 12)]
+
+
+@pytest.mark.parametrize(("operator", "sql"), [(substrings, substrings.OP1_SQL), (factors, factors.OP8_SQL)], ids=["op1", "op8"])
+def test_digests_match_sql(spark, corpus, operator, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [[i, t] for i, t in enumerate(corpus)])
+    result = con.execute(sql)
+    names = [c[0] for c in result.description]
+    found = operator.digest(spark, documents(spark, corpus)).select(*names).collect()
+    assert sorted(map(tuple, found)) == sorted(result.fetchall())
