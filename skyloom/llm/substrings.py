@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .scratch import Scratch
-from .suffix import repeated_starts
+from .suffix import alternating, repeated_starts
 from .windows import RUN_NAMES, Units, bodies, cut_contents, distinct_items, every_start, halve, occurrences, part_of_whole, row_id, run_rows, split_hot, whole_keys
 
 GRAM = 32
@@ -61,16 +61,17 @@ def _shard_spans(table: pa.Table, width: int) -> pa.RecordBatch:
     """Byte spans of the repeated windows of a shard's contents; those that occur again are laid out twice."""
     body, at = bodies(table.column("x_bytes"))
     length = np.diff(at)
-    twice = np.flatnonzero(~table.column("x_once").to_numpy())
-    laid = np.concatenate([np.arange(len(length)), twice])
-    size = length[laid]
-    text = np.full(int(size.sum()) + len(laid) + 1, 255, np.uint8)
-    target = np.arange(int(size.sum())) + np.repeat(np.arange(len(laid)), size)
-    text[target] = np.minimum(body[np.repeat(at[laid], size) + textops.ranges(size)], 253) + 1
+    again = ~table.column("x_once").to_numpy()
+    size = np.append(length, length[again])
+    inside = alternating(size, np.ones(len(size), np.int64))
+    text = np.full(len(inside) + 1, 255, np.uint8)
+    symbols = np.minimum(body, 253) + np.uint8(1)
+    text[:-1][inside] = np.append(symbols, symbols[np.repeat(again, length)])
     text[-1] = 0
-    marked = repeated_starts(text, width)[target[: len(body)]]
+    first = len(body) + len(length)  # the contents laid out once come before those laid out again
+    marked = repeated_starts(text, width)[:first][inside[:first]]
     # only whole windows count: common prefixes may run across separators
-    marked &= textops.ranges(length) <= np.repeat(length - width, length)
+    marked &= alternating(length - width + 1, np.full(len(length), width - 1))
     edge = np.diff(marked.astype(np.int8), prepend=0)
     edge[at[:-1][marked[at[:-1]]]] = 1
     begin = np.flatnonzero(edge == 1)

@@ -16,6 +16,10 @@ from .textops import ranges
 
 #: Places looked at together when the next one that is to be filled is sought.
 LOOK = 1024
+#: Stretches of at most so many places are walked one by one: repeats of a phrase make long chains of single places.
+FEW = 16
+#: Pairs of neighbouring substrings compared together.
+PAIRS = 1 << 14
 
 
 def _suffix_types(t: np.ndarray) -> np.ndarray:
@@ -28,6 +32,8 @@ def _suffix_types(t: np.ndarray) -> np.ndarray:
 
 def _next_open(waiting: np.ndarray, at: int) -> int:
     """First place from ``at`` on that waits for its suffix, or the array's end."""
+    if at + 1 < len(waiting) and waiting[at + 1] and not waiting[at]:
+        return at + 1
     while at < len(waiting):
         seen = waiting[at : at + LOOK]
         k = int(seen.argmax())
@@ -45,40 +51,57 @@ def _walk(t: np.ndarray, sa: np.ndarray, free: np.ndarray, waiting: np.ndarray,
     """
     n, low = len(sa), 0
     wanted = np.append(wanted, [False, False])  # for the predecessors -1 of the first suffix and -2 of an empty place
-    count = np.arange(n)
+    count = np.arange(n, dtype=np.int32)
+    suffixes, open_, wants, symbol, places = map(memoryview, (sa, waiting, wanted, t, free))
     while low < n:
         high = _next_open(waiting, low)
         if high == low:
             raise AssertionError("a place waits for no suffix")
-        before = sa[low:high] - 1
-        before = before[wanted[before]]
+        if high - low <= FEW:
+            for k in range(low, high):
+                before = suffixes[k] - 1
+                if wants[before]:
+                    own = symbol[before]
+                    at = places[own]
+                    suffixes[at], open_[at], places[own] = before, False, at + 1
+            low = high
+            continue
+        before = sa[low:high].astype(np.intp)
+        before -= 1
+        before = before.compress(wanted.take(before))
         if len(before):
-            symbols = t[before]
+            symbols = t.take(before)
             order = symbols.argsort(kind="stable")
-            symbols = symbols[order]
-            at = free[symbols] + count[: len(symbols)] - symbols.searchsorted(symbols)
-            sa[at] = before[order]
+            symbols = symbols.take(order)
+            at = free.take(symbols)
+            at += count[: len(symbols)]
+            at -= symbols.searchsorted(symbols)
+            sa[at] = before.take(order)
             waiting[at] = False
-            free[symbols] = at + 1  # of equal symbols the last, and largest, place counts
+            at += 1
+            free[symbols] = at  # of equal symbols the last, and largest, place counts
         low = high
 
 
+def alternating(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each symbol in turn so many times True, then so many times False."""
+    return np.repeat(np.tile([True, False], len(first)), np.stack([first, second], 1).ravel())
+
+
 def _induce(t: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Order of all suffixes, induced from the leftmost-smaller ones in the order given."""
     n = len(t)
     counts = np.bincount(t, minlength=sigma)
     tail = np.cumsum(counts)
-    head = tail - counts
+    # L-type suffixes come first within their symbol, the leftmost-smaller ones start at its end
     large = np.bincount(t[~small], minlength=sigma)
-    place = np.arange(n) - np.repeat(head, counts)  # rank within its symbol; L-type suffixes come first
-    is_large = place < np.repeat(large, counts)
+    is_large = alternating(large, counts - large)
 
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     symbols = t[lms]
-    order = np.argsort(symbols, kind="stable")
     own = np.bincount(symbols, minlength=sigma)
-    sa[np.repeat(tail - own, own) + ranges(own)] = lms[order]
-    _walk(t, sa, head.copy(), is_large.copy(), ~small)
+    sa[~alternating(counts - own, own)] = lms[np.argsort(symbols, kind="stable")]
+    _walk(t, sa, tail - counts, is_large.copy(), ~small)
 
     # the S-type suffixes, from the right: the same walk over the mirrored array with mirrored symbols
     sa[~is_large] = -1
@@ -95,31 +118,33 @@ def _names(t: np.ndarray, ordered: np.ndarray, end_of: np.ndarray) -> np.ndarray
     size = end_of[ordered] - ordered
     differs = size[1:] != size[:-1]
     alike = np.flatnonzero(~differs)
-    length = size[alike]
-    step = ranges(length)
-    unlike = t[np.repeat(ordered[alike], length) + step] != t[np.repeat(ordered[alike + 1], length) + step]
-    differs[alike] = np.bincount(np.repeat(np.arange(len(alike)), length), unlike, len(alike)) > 0
-    return np.cumsum(np.concatenate([[0], differs]))
+    for begin in range(0, len(alike), PAIRS):
+        pair = alike[begin : begin + PAIRS]
+        length = size[pair]
+        step = ranges(length)
+        unlike = t[np.repeat(ordered[pair], length) + step] != t[np.repeat(ordered[pair + 1], length) + step]
+        differs[pair] = np.logical_or.reduceat(unlike, np.cumsum(length) - length)
+    return np.cumsum(np.concatenate([[0], differs]), dtype=np.int32)
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of ``t``, whose symbols are below ``sigma`` and whose last is 0 and occurs nowhere else."""
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     small = _suffix_types(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = small[1:] & ~small[:-1]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     if len(lms) > 1:
         sa = _induce(t, sigma, small, lms)
         ordered = sa[is_lms[sa]]
-        end_of = np.empty(n, np.int64)
+        end_of = np.empty(n, np.int32)
         end_of[lms] = np.append(lms[1:] + 1, n)
         ranks = _names(t, ordered, end_of)
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[ordered] = ranks
-        names = place[lms].astype(np.uint16 if ranks[-1] < 1 << 16 else np.int64)
+        names = place[lms].astype(np.uint16 if ranks[-1] < 1 << 16 else np.int32)
         if ranks[-1] + 1 == len(lms):  # all differ: the ranks are the order
             lms = ordered
         else:
@@ -137,7 +162,7 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int, block: int
     """
     n, wide = len(t), t.itemsize
     each = 8 // wide  # symbols compared at once
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     padded = np.concatenate([t, np.zeros(cap + 16, t.dtype)])
     words = np.ndarray(len(padded) - each + 1, "<u8", padded, strides=(wide,))
