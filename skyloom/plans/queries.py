@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .. import cube as C
 from ..functions import attributes, rules, timeaxis, transforms
 from ..operators import axes, catalog, layout, regrid, select, validate
+from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +84,13 @@ def _(spark, d):
     return C.event_cube(spark, d).where(select.time_window("2024-01-05", "2024-01-20") & select.cell_window(y, x))
 
 
+@query("range_list_window", f"WITH {CUBE} SELECT * FROM cube WHERE t BETWEEN DATE '2024-01-03' AND DATE '2024-01-09' AND x BETWEEN 3 AND 8", "t")
+def _(spark, d):
+    times = select.pair(select.parse_range_list("[2024-01-03, 2024-01-09]"), "time")
+    lon = select.pair(select.parse_range_list("(8.6, 3.4)"), "lon")
+    return C.event_cube(spark, d).where(select.time_window(*times) & select.cell_window(x=select.index_window(SOURCE[1], *lon)))
+
+
 @query("month_window", f"WITH {CUBE} SELECT * FROM cube WHERE t BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND y = 0", "t")
 def _(spark, d):
     return C.event_cube(spark, d).where(select.time_window("2024-01", "2024-01") & select.cell_window((0, 1)))
@@ -286,9 +294,36 @@ def _(spark, d):
     return timeaxis.sub_daily(spark.read.parquet(f"{d}/events.parquet"), "ts", "event_type").withColumnRenamed("event_type", "path")
 
 
-@query("filename_fields", "SELECT page_id, regexp_extract_all(url, '\\d+') AS fields FROM pages")
+def _day_names(spark: SparkSession, d: str, pattern: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", pattern).alias("name")).distinct()
+
+
+@query("filename_fields", "SELECT 1 AS start, 2 AS length, '12' AS sample, FALSE AS changes UNION ALL SELECT 4, 8, strftime(min(o_orderdate), '%Y%m%d'), count(DISTINCT CAST(o_orderdate AS DATE)) > 1 FROM orders")
+def _(spark, d):
+    names = [r.name for r in _day_names(spark, d, "'p12_'yyyyMMdd'.nc'").orderBy("name").collect()]  # as many as the product has dates
+    return spark.createDataFrame([(f.start, f.length, f.sample, f.changes) for f in timeaxis.name_fields(names)], "start int, length int, sample string, changes boolean")
+
+
+@query("automatic_dates", "SELECT DISTINCT strftime(o_orderdate, 'p12_%Y%m%d.nc') AS name, CAST(o_orderdate AS DATE) AS t FROM orders", "t")
+def _(spark, d):
+    names = _day_names(spark, d, "'p12_'yyyyMMdd'.nc'")
+    rule = timeaxis.automatic_rule([r.name for r in names.orderBy("name").collect()])
+    return names.withColumn("t", timeaxis.named_date(F.col("name"), rule))
+
+
+@query("manual_dates", "SELECT DISTINCT strftime(o_orderdate, 'v2001_%Y%j.tif') AS name, CAST(o_orderdate AS DATE) AS t FROM orders", "t")
+def _(spark, d):
+    names = _day_names(spark, d, "'v2001_'yyyyDDD'.tif'")
+    sample = names.agg(F.min("name")).first()[0]
+    return names.withColumn("t", timeaxis.named_date(F.col("name"), timeaxis.manual_rule(sample, sample[6:13])))
+
+
+@query("suggested_dates", "SELECT DISTINCT 'lai_' || CAST(year(o_orderdate) AS VARCHAR) || '.nc' AS name, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy, CAST(o_orderdate AS DATE) AS t FROM orders", "t")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract_all("url", F.lit(r"\d+"), F.lit(0)).alias("fields"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "'lai_'yyyy'.nc'").alias("name"), F.dayofyear("o_orderdate").alias("doy")).distinct()
+    names = [r.name for r in rows.select("name").distinct().orderBy("name").collect()]  # one for each year
+    rule = timeaxis.suggest_rule(timeaxis.name_fields(names), timeaxis.time_kind("day", (1, 366)))
+    return rows.withColumn("t", rule.column(F.col("name"), F.col("doy")))
 
 
 @query("locate_times", f"WITH {DAYS}, cal AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS t), f AS (SELECT CAST(ts AS DATE) AS t, min(event_id) AS path FROM events WHERE event_type = 'view' GROUP BY 1) SELECT t, path FROM cal LEFT JOIN f USING (t)", "t")
@@ -343,9 +378,77 @@ _regridded("regrid_nearest_d2s", "nearest_d2s", 2.0, f"WITH {HOLES} SELECT t, CA
 _regridded("regrid_nearest_d2s_sum", "nearest_d2s", 2.0, f"WITH {HOLES} SELECT t, CAST(floor(y / 2.0) AS INTEGER) AS y, CAST(floor(x / 2.0) AS INTEGER) AS x, CASE WHEN count(*) = count(v) THEN CAST(sum(v) AS DOUBLE) END AS value FROM holes GROUP BY 1, 2, 3", skipna=False)
 
 
-@query("regrid_patch", None)
+def _patch_sql(name: str, n: int, target: str) -> str:
+    """Weights of quadratic recovery along an axis of unit cells: two parabolas through three centres, blended."""
+    return f"""{name}b AS (SELECT j, c - 0.5 AS u, least(CAST(floor(c - 0.5) AS INTEGER), {n - 2}) AS k FROM {target} WHERE c BETWEEN 0.5 AND {n - 0.5}),
+  {name}f AS (SELECT j, u, k AS centre, 1 - (u - k) AS blend FROM {name}b UNION ALL SELECT j, u, k + 1, u - k FROM {name}b),
+  {name}p AS (SELECT j, blend, least(greatest(centre - 1, 0), {n - 3}) AS low, u - least(greatest(centre - 1, 0), {n - 3}) AS d FROM {name}f),
+  {name} AS (SELECT j, CAST(low + i AS INTEGER) AS {name[1]}, sum(blend * CASE i WHEN 0 THEN (d - 1) * (d - 2) / 2 WHEN 1 THEN -d * (d - 2) ELSE d * (d - 1) / 2 END) AS w
+             FROM {name}p, generate_series(0, 2) s(i) GROUP BY 1, 2)"""
+
+
+PATCH_SQL = f"""WITH {DENSE}, {_axis_sql('ay', 5, 1.25, 0.0)}, {_axis_sql('ax', 8, 1.25, 0.0)}, {_patch_sql('wy', 6, 'ay')}, {_patch_sql('wx', 10, 'ax')},
+ sums AS (SELECT t, wy.j AS y, wx.j AS x, sum(wy.w * wx.w * v) AS num, sum(CASE WHEN v IS NOT NULL THEN wy.w * wx.w END) AS den FROM dense JOIN wy USING (y) JOIN wx USING (x) GROUP BY 1, 2, 3),
+ grid AS (SELECT t, ay.j AS y, ax.j AS x FROM (SELECT DISTINCT t FROM dense), ay, ax)
+ SELECT g.t, g.y, g.x, CASE WHEN den >= 1e-6 THEN round(num / den, 6) END AS value FROM grid g LEFT JOIN sums s ON s.t = g.t AND s.y = g.y AND s.x = g.x"""
+_regridded("regrid_patch", "patch", 1.25, PATCH_SQL, holes=False)
+
+
+@query("dense_check", f"WITH r AS ({BILINEAR_SQL}) SELECT y, x, value FROM r WHERE t = (SELECT min(t) FROM r)")
+def _(spark, d):
+    cells = _holes(spark, d)
+    first = cells.where(F.col("t") == cells.agg(F.min("t")).first()[0]).collect()  # one map of 60 cells
+    values = np.full((6, 10), np.nan)
+    for r in first:
+        values[r.y, r.x] = np.nan if r.v is None else r.v
+    out = validate.dense_regrid(values, SOURCE, _targets(1.25), "bilinear")
+    rows = [(y, x, None if np.isnan(out[y, x]) else round(float(out[y, x]), 6)) for y, x in np.ndindex(*out.shape)]
+    return spark.createDataFrame(rows, "y int, x int, value double")
+
+
+@query("product_barrier", f"WITH {HOLES}, w AS (SELECT t, y, x, CASE WHEN v < 2000 THEN 0 ELSE v END AS v FROM holes WHERE t BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'), r AS (SELECT t, CAST(2 - y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, avg(v) AS v FROM w GROUP BY 1, 2, 3), s AS (SELECT min(v) AS mn, max(v) AS mx FROM r) SELECT t, y, x, round(CASE WHEN v >= mx - 1000 THEN mn ELSE v END, 6) AS v FROM r, s", "t")
+def _(spark, d):
+    config = pipeline.Config(time=("2024-01-05", "2024-01-20"), resample=True, resolution=2.0, method="conservative_normed", before=("<2000", "0"), after=(">= max - 1000", "min"))
+    plan = pipeline.build_plan(SOURCE[0].centres, SOURCE[1].centres, 16, config)
+    return pipeline.product(_holes(spark, d), plan).withColumn("v", F.round("v", 6))
+
+
+@query("product_turned", f"WITH {HOLES} SELECT t, CAST(5 - y AS INTEGER) AS y, x, CAST(v AS DOUBLE) AS v FROM holes", "t")
+def _(spark, d):
+    plan = pipeline.build_plan(SOURCE[0].centres, SOURCE[1].centres, 30, pipeline.Config(resample=True, resolution=1.0))
+    return pipeline.product(_holes(spark, d), plan)
+
+
+@query("target_cells", f"WITH {CUBE}, e AS (SELECT min(x) AS a, max(x) + 1 AS b FROM cube) SELECT CAST(i AS INTEGER) AS i, a + (n - 1 - i) * 2.5 + 1.25 AS center, a + (n - 1 - i) * 2.5 AS lo, a + (n - i) * 2.5 AS hi FROM (SELECT a, CAST(ceil((b - a) / 2.5) AS BIGINT) AS n FROM e), generate_series(0, 3) g(i) WHERE i < n")
+def _(spark, d):
+    centres = [r.x + 0.5 for r in C.event_cube(spark, d).select("x").distinct().orderBy("x").collect()]
+    target = axes.target_axis(2.5, True, source=axes.inspect_axis(centres, "lon"))
+    return spark.createDataFrame(target.rows(), "i int, center double, lo double, hi double")
+
+
+def _nations(spark: SparkSession, d: str) -> list[int]:
+    """The 25 keys, as parameters of axis operators."""
+    return [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("int")).collect()]
+
+
+@query("grid_equality", "SELECT CAST(n_nationkey AS INTEGER) AS k, CASE WHEN n_nationkey % 4 = 0 AND n_nationkey <= 24 THEN CAST(n_nationkey // 4 AS INTEGER) END AS first_index, CASE WHEN n_nationkey % 4 = 0 AND n_nationkey <= 24 THEN CAST(n_nationkey // 4 + 4 AS INTEGER) END AS end_index FROM nation")
+def _(spark, d):
+    rows = [(k, *(axes.matching_slice(SOURCE[1], _axis(4, k * 0.25)) or (None, None))) for k in _nations(spark, d)]
+    return spark.createDataFrame(rows, "k int, first_index int, end_index int")
+
+
+@query("read_windows", """WITH k AS (SELECT CAST(n_nationkey AS INTEGER) AS k, n_nationkey * 0.25 AS a, n_nationkey * 0.25 + 3 AS b FROM nation), i AS (SELECT CAST(i AS INTEGER) AS i FROM generate_series(0, 9) g(i))
+ SELECT k, 'conservative' AS method, min(i) AS first_index, max(i) + 1 AS end_index FROM k, i WHERE i + 1 > a AND i < b GROUP BY k
+ UNION ALL SELECT k, 'bilinear', CAST(greatest(count(*) FILTER (i + 0.5 < a) - 1, 0) AS INTEGER), CAST(least(count(*) FILTER (i + 0.5 <= b) + 1, 10) AS INTEGER) FROM k, i GROUP BY k""")
 def _(spark, d):
-    return regrid.regrid(_dense(spark, d), SOURCE, _targets(1.25), "patch").withColumn("value", F.round("value", 6))
+    rows = [(k, m, *axes.read_window(SOURCE[1], k * 0.25, k * 0.25 + 3, m)) for k in _nations(spark, d) for m in ("conservative", "bilinear")]
+    return spark.createDataFrame(rows, "k int, method string, first_index int, end_index int")
+
+
+@query("uncovered_sides", "SELECT CAST(n_nationkey AS INTEGER) AS k, concat_ws(',', CASE WHEN n_nationkey * 0.5 - 4 < 0 THEN 'low' END, CASE WHEN n_nationkey * 0.5 + 4 > 10 THEN 'high' END) AS sides FROM nation")
+def _(spark, d):
+    rows = [(k, ",".join(axes.uncovered_sides(SOURCE[1], _axis(8, k * 0.5 - 4)))) for k in _nations(spark, d)]
+    return spark.createDataFrame(rows, "k int, sides string")
 
 
 @query("conserved_total", f"WITH {DENSE} SELECT t, CAST(sum(v) AS DOUBLE) AS total FROM dense GROUP BY t", "t")
@@ -506,6 +609,25 @@ def _(spark, d):
     return corner.select("n_nationkey", F.get("c", F.lit(0)).alias("west"), F.get("c", F.lit(1)).alias("north"))
 
 
+@query("probe_cells", f"WITH {DENSE}, n AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS ti, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM dense)), p AS (SELECT DISTINCT CAST(round_even(k * (n - 1) / 2.0, 0) AS BIGINT) AS ti FROM n, generate_series(0, 2) g(k)) SELECT CAST(ti AS INTEGER) AS ti, y, x, v FROM p JOIN n USING (ti) JOIN dense d ON d.t = n.t AND d.y = (ti * 104729 + 1) % 6 AND d.x = (ti * 130363 + 3) % 10")
+def _(spark, d):
+    cells = pipeline.with_time_index(_dense(spark, d))
+    probes = validate.probe_cells(spark, (cells.select("ti").distinct().count(), 6, 10)).withColumnRenamed("t", "ti")
+    return cells.join(F.broadcast(probes), ["ti", "y", "x"]).select("ti", "y", "x", "v")
+
+
+@query("chunk_plan_maps", "SELECT CAST(k AS INTEGER) AS k, CAST(max(s) AS INTEGER) AS ct FROM (SELECT n_nationkey AS k FROM nation), generate_series(1, 365) g(s) WHERE (s < 8 OR s % 4 = 0 OR s = 365) AND s * (100 + 20 * k) * (200 + 40 * k) * 8 <= 134217728 GROUP BY k")
+def _(spark, d):
+    rows = [(k, layout.plan_chunks((365, 100 + 20 * k, 200 + 40 * k), 8, "space").chunks[0]) for k in _nations(spark, d)]
+    return spark.createDataFrame(rows, "k int, ct int")
+
+
+@query("gcd_chunk", "SELECT CAST(max(g) AS INTEGER) AS chunk FROM generate_series(1, 1000) s(g) WHERE NOT EXISTS (SELECT 1 FROM part WHERE (p_size * 6) % g <> 0)")
+def _(spark, d):
+    sizes = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_size") * 6).alias("n")).distinct().collect()  # as many as there are variables' chunk sizes
+    return spark.createDataFrame([(layout.gcd_chunk(r.n for r in sizes),)], "chunk int")
+
+
 @query("even_pick", f"WITH {CUBE}, r AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS p FROM (SELECT DISTINCT t FROM cube)) SELECT t FROM r, (SELECT count(*) AS n FROM r) WHERE p IN (SELECT CAST(round_even(k * (n - 1) / 4.0, 0) AS BIGINT) FROM generate_series(0, 4) g(k))", "t")
 def _(spark, d):
     times = C.event_cube(spark, d).select("t").distinct().withColumn("p", F.row_number().over(Window.orderBy("t")) - 1)
