@@ -179,8 +179,8 @@ def drop_near_duplicates(spark: SparkSession, documents: DataFrame, *, id_col: s
 
     Of a group the row with the smallest id stays.  At a similarity of 0.8
     fingerprints differ in some ten of 64 bits, so that no positional byte need be
-    shared and the index guarantees nothing; the candidates come from
-    :mod:`nearcopies` instead, and each is verified on the shingles themselves.
+    shared; :mod:`nearcopies` indexes the byte positions of wider fingerprints, and
+    each link is verified on the shingles themselves.
     """
     return nearcopies.drop_near_copies(spark, documents, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity, seed=seed)
 
