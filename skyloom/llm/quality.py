@@ -172,12 +172,18 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log1p(-p)
 
 
+def _features_of(texts: list[str], piece_bytes: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of all texts; the driver holds the hashes of one piece at a time."""
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["x_text"])
+    x, length, first = zip(*[line_features(*textops.utf8(piece.column(0))) for piece in textops.pieces(iter([whole]), "x_text", piece_bytes)], strict=True)
+    return np.concatenate(x), np.concatenate(length), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for f in first]))])
+
+
 def train(texts: list[str], labels: np.ndarray, rounds: int = 100, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Maximum-likelihood weights by Adam, then the document link by Newton steps."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(3 * OWN + 1), np.zeros((2, 2)), (0.0, 0.0))
-    data, offsets = textops.utf8(pa.array(texts, pa.large_string()))
-    x, length, first = line_features(data, offsets)
+    x, length, first = _features_of(texts)
     y = np.repeat(labels, np.diff(first)).astype(np.float64)
     inner = np.ones(len(y), bool)
     inner[first[:-1]] = False
